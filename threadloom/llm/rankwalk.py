@@ -2,7 +2,8 @@
 
 A Markov chain walks over the items of a list group: from an item it picks one of the scores with equal chance and jumps uniformly
 to an item that ranks at least as high by it (ties and itself included; from an item without that score to any item that has it).
-With damping it restarts anywhere. The order is by stationary probability. Only ranks enter, so no scale dominates.
+Where nothing ranks higher it restarts anywhere, so that leading one list alone does not hold the walk. With damping it restarts too.
+The order is by stationary probability. Only ranks enter, so no scale dominates.
 
 A step costs three sorted prefix sums. Groups are packed into Arrow batches and walked together in NumPy; a group of more
 than `local_items` items is walked as DataFrames, its ranks and prefix sums made from ranges, so no task holds it whole.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from threadloom.session import cut
 
-DAMPING = 0.85
-STEPS = 40
+#: At 0.5 a step counts twice as much as the next; with weights near 1 leaders of a single list feed each other.
+DAMPING = 0.5
+STEPS = 30
 LOCAL_ITEMS = 100_000
 WEIGHTS = "search_id string, fragment_id bigint, weight double"
 
@@ -48,31 +50,36 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping: float = DAMPING,
         tie = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # where the run of equal scores begins
         end = np.r_[np.flatnonzero(head)[1:], n][np.cumsum(head) - 1]
         there = np.repeat(np.add.reduceat((~missing).astype(np.int64), starts), sizes)
-        reach = np.where(gone, there, end - first)
-        plans.append((order, gone, tie, np.maximum(reach, 1), first + size - 1, there == 0))
+        reach = np.where(gone, there, np.where(tie == first, 0, end - first))
+        plans.append((order, gone, tie, reach, first + size - 1))
     x = 1.0 / size
-    base = (1 - damping) / size
     for _ in range(steps):
-        new = np.zeros(n)
-        for order, gone, tie, reach, last, empty in plans:
-            flow = x[order] / reach
+        new, lost = np.zeros(n), np.zeros(n)
+        for order, gone, tie, reach, last in plans:
+            y = x[order]
+            flow = np.where(reach > 0, y / np.maximum(reach, 1), 0)
+            lost[order] += np.where(reach > 0, 0, y)
             sums = np.r_[0.0, np.cumsum(flow)]
             got = sums[last + 1] - sums[tie]
             got[gone] = 0
-            got[empty] = x[order][empty]
             new[order] += got
-        x = base + damping * new / len(plans)
+        restart = np.repeat(np.add.reduceat(lost, starts), sizes) / size
+        x = (1 - damping) / size + damping * (new + restart) / len(plans)
     return x
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
-        at = np.repeat(np.arange(batch.num_rows), sizes)
-        flat = lists.values.slice(lists.offsets[0].as_py(), int(sizes.sum()))
-        scores = [flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("s0", "s1", "s2")]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), flat.field("fragment_id"), pa.array(walk(at, scores))], ["search_id", "fragment_id", "weight"])
+def _walked(damping: float, steps: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            at = np.repeat(np.arange(batch.num_rows), sizes)
+            flat = lists.values.slice(lists.offsets[0].as_py(), int(sizes.sum()))
+            scores = [flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("s0", "s1", "s2")]
+            weights = pa.array(walk(at, scores, damping, steps))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), flat.field("fragment_id"), weights], ["search_id", "fragment_id", "weight"])
+
+    return run
 
 
 def _prefix(values: DataFrame, keys: list[str], order: str, amount: str, out: str) -> DataFrame:
@@ -92,20 +99,25 @@ def _huge(items: DataFrame, damping: float, steps: int) -> DataFrame:
     long = items.select("search_id", "fragment_id", F.posexplode(F.array("s0", "s1", "s2")).alias("s", "v"))
     value = long.filter("v is not null").groupBy("search_id", "s", (-F.col("v")).alias("down")).agg(F.count(F.lit(1)).alias("cnt"))
     ranged = cut(value.repartitionByRange(max(2, spark.sparkContext.defaultParallelism), "search_id", "s", "down").withColumn("__part", F.spark_partition_id()))
-    ranked = cut(_prefix(ranged, ["search_id", "s"], "down", "cnt", "above").withColumn("reach", F.col("above") + F.col("cnt")))
+    ranked = cut(_prefix(ranged, ["search_id", "s"], "down", "cnt", "above"))
     there = ranked.groupBy("search_id", "s").agg(F.sum("cnt").alias("there"))
-    place = cut(long.withColumn("down", -F.col("v")).join(ranked.select("search_id", "s", "down", "reach"), ["search_id", "s", "down"], "left").join(there, ["search_id", "s"], "left").select("search_id", "fragment_id", "s", "down", "reach", F.coalesce("there", F.lit(0)).alias("there")))
+    of = long.withColumn("down", -F.col("v")).join(ranked.select("search_id", "s", "down", "above", "cnt"), ["search_id", "s", "down"], "left").join(there, ["search_id", "s"], "left")
+    reach = F.when(F.col("down").isNull(), F.coalesce("there", F.lit(0))).when(F.col("above") == 0, 0).otherwise(F.col("above") + F.col("cnt"))
+    place = cut(of.select("search_id", "fragment_id", "s", "down", reach.alias("reach")))
     x = items.join(sizes, "search_id").select("search_id", "fragment_id", (1.0 / F.col("size")).alias("x"))
     for _ in range(steps):
-        at = place.join(x, ["search_id", "fragment_id"])
-        flows = at.filter("down is not null").groupBy("search_id", "s", "down").agg(F.sum(F.col("x") / F.col("reach")).alias("flow"))
-        lost = at.filter("down is null and there > 0").groupBy("search_id", "s").agg(F.sum(F.col("x") / F.col("there")).alias("lost"))
+        at = cut(place.join(x, ["search_id", "fragment_id"]).withColumn("flow", F.when(F.col("reach") > 0, F.col("x") / F.col("reach")).otherwise(0.0)))
+        flows = at.filter("down is not null").groupBy("search_id", "s", "down").agg(F.sum("flow").alias("flow"))
+        absent = at.filter("down is null").groupBy("search_id", "s").agg(F.sum("flow").alias("absent"))
+        lost = at.filter("reach = 0").groupBy("search_id").agg(F.sum("x").alias("lost"))
         total = flows.groupBy("search_id", "s").agg(F.sum("flow").alias("total"))
         run = _prefix(ranked.select("search_id", "s", "down", "__part").join(flows, ["search_id", "s", "down"]), ["search_id", "s"], "down", "flow", "better")
-        mass = run.join(total, ["search_id", "s"]).join(lost, ["search_id", "s"], "left").select("search_id", "s", "down", (F.col("total") - F.col("better") + F.coalesce("lost", F.lit(0.0))).alias("mass"))
-        got = at.join(mass, ["search_id", "s", "down"], "left").withColumn("got", F.when(F.col("there") == 0, F.col("x")).otherwise(F.coalesce("mass", F.lit(0.0))))
-        new = got.groupBy("search_id", "fragment_id").agg(F.sum("got").alias("got")).join(sizes, "search_id")
-        x = cut(new.select("search_id", "fragment_id", ((1 - damping) / F.col("size") + damping * F.col("got") / 3).alias("x")))
+        mass = run.join(total, ["search_id", "s"]).join(absent, ["search_id", "s"], "left")
+        mass = mass.select("search_id", "s", "down", (F.col("total") - F.col("better") + F.coalesce("absent", F.lit(0.0))).alias("mass"))
+        got = at.join(mass, ["search_id", "s", "down"], "left").groupBy("search_id", "fragment_id").agg(F.sum(F.coalesce("mass", F.lit(0.0))).alias("got"))
+        new = got.join(sizes, "search_id").join(lost, "search_id", "left")
+        moved = (F.col("got") + F.coalesce("lost", F.lit(0.0)) / F.col("size")) / 3
+        x = cut(new.select("search_id", "fragment_id", ((1 - damping) / F.col("size") + damping * moved).alias("x")))
     return x.select("search_id", "fragment_id", F.col("x").alias("weight"))
 
 
@@ -113,7 +125,7 @@ def combine(lexical: DataFrame, graph: DataFrame, damping: float = DAMPING, step
     """(search_id, fragment_id, weight): the stationary weight of each fragment of each search over the three scores.
 
     Of a fragment that is repeated in a list the highest value counts; null, NaN and absence earn nothing; infinities rank as they
-    compare. Rows without search or fragment take no part. A search whose scores are all missing gives equal weights. An empty
+    compare. Rows without search or fragment take no part. A search whose scores are all missing or equal gives equal weights. An empty
     table gives no rows; a fragment in only one of the lists is an item like any other.
     """
     hits = lexical.select("search_id", "fragment_id", earned("score").alias("s0"), F.lit(None).cast("double").alias("s1"), F.lit(None).cast("double").alias("s2")).unionByName(
@@ -123,7 +135,7 @@ def combine(lexical: DataFrame, graph: DataFrame, damping: float = DAMPING, step
     items = hits.groupBy("search_id", "fragment_id").agg(*[F.max(c).alias(c) for c in ("s0", "s1", "s2")])
     huge = hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_items).select("search_id")
     entry = F.struct("fragment_id", "s0", "s1", "s2")
-    local = lambda df: df.groupBy("search_id").agg(F.collect_list(entry).alias("items")).mapInArrow(_walked, WEIGHTS)
+    local = lambda df: df.groupBy("search_id").agg(F.collect_list(entry).alias("items")).mapInArrow(_walked(damping, steps), WEIGHTS)
     if huge.isEmpty():
         return local(items)
     huge, items = cut(huge), cut(items)
