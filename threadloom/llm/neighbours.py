@@ -178,7 +178,10 @@ def nearest(
     empty = spark.createDataFrame([], FOUND + ", place int")
     if n == 0:
         return empty
-    sample = good.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("e").toArrow()
+    # A hash threshold leaves about 1.5 samples of rows, so the ordering meets few rows however many partitions there are.
+    share_of_rows = min(1.0, 1.5 * sample_rows / n)
+    near_sample = good.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share_of_rows * (1 << 30)) + 1)
+    sample = near_sample.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("e").toArrow()
     unit = _matrix(sample["e"].combine_chunks(), dim)
     n_lists = max(1, min(lists or round(n**0.5), len(unit) // 16 or 1))
     index = AnisotropicIndex(unit, n_lists)
