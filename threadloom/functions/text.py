@@ -59,7 +59,7 @@ def normalize_phrase(c: Column | str) -> Column:
 
 def normalize_content(c: Column | str) -> Column:
     """Trimmed, with each run of white space as one space; null as ''."""
-    return F.coalesce(F.trim(F.regexp_replace(_c(c), r"\s+", " ")), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(_c(c), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"\s+", " "), F.lit(""))
 
 
 def code_line_score(line: Column | str) -> Column:
@@ -88,11 +88,10 @@ def is_code_line(line: Column | str) -> Column:
 def strip_code(c: Column | str) -> Column:
     """Fenced blocks and runs of code-like lines as one space, inline code as the word code, runs of blanks as one."""
     plain = F.regexp_replace(F.regexp_replace(_c(c), r"(?s)```.*?```", " "), "`[^`]*`", " code ")
-    marked = F.transform(F.split(plain, "\n", -1), lambda x: F.when(is_code_line(x), F.lit(None).cast("string")).otherwise(x))
-    # a run of code lines gives one space: keep only nulls whose predecessor is no null
-    kept = F.filter(F.transform(marked, lambda x, i: F.struct(x.alias("x"), ((i > 0) & F.get(marked, i - 1).isNull()).alias("again"))), lambda s: s.x.isNotNull() | ~s.again)
-    joined = F.array_join(F.transform(kept, lambda s: F.when(s.x.isNull(), F.lit(" ")).otherwise(F.concat(s.x, F.lit("\n")))), "")
-    return F.regexp_replace(F.regexp_replace(joined, r"[ \t]{2,}", " "), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    # a code line becomes a mark of its own, so a run of them is a run of marks; U+FDD0 is no character of any text
+    joined = F.array_join(F.transform(F.split(plain, "\n", -1), lambda x: F.when(is_code_line(x), F.lit("\ufdd0")).otherwise(F.concat(x, F.lit("\n")))), "")
+    collapsed = F.regexp_replace(joined, "\ufdd0+", " ")
+    return F.regexp_replace(F.regexp_replace(collapsed, r"[ \t]{2,}", " "), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
 def normalize_markdown(c: Column | str) -> Column:

@@ -79,7 +79,7 @@ def keyword_edges(phrase_keyword: DataFrame, user: str, phrase: str = "phrase",
     rows = phrase_keyword.select(user, phrase, keyword).distinct()
     sizes = rows.groupBy(user, phrase).agg(F.count(F.lit(1)).alias("k"))
     left = rows.select(user, keyword, F.col(phrase).alias("phrase_a"), F.pmod(F.xxhash64(phrase), F.lit(salts)).alias("s"))
-    right = rows.select(user, keyword, F.col(phrase).alias("phrase_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("s"))
+    right = rows.select(user, keyword, F.col(phrase).alias("phrase_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("s"))
     shared = left.join(right, [user, keyword, "s"]).filter("phrase_a < phrase_b").groupBy(user, "phrase_a", "phrase_b").agg(F.count(F.lit(1)).alias("shared"))
     sized = shared.join(sizes.select(user, F.col(phrase).alias("phrase_a"), F.col("k").alias("ka")), [user, "phrase_a"]).join(sizes.select(user, F.col(phrase).alias("phrase_b"), F.col("k").alias("kb")), [user, "phrase_b"])
     return sized.select(user, "phrase_a", "phrase_b", "shared", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))).alias("overlap"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import problems
+from threadloom.plans import problems, search_queries, text_queries
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | text_queries.QUERIES | search_queries.QUERIES
 
 
 def oracle() -> dict[str, str]:
-    return problems.oracle()
+    return problems.oracle() | text_queries.ORACLE | search_queries.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return problems.p5_found(spark, d)
+    return search_queries.fast_search(spark, d)
