@@ -136,3 +136,22 @@ SELECT delivery_id, conversation_uuid, (row_number() OVER (PARTITION BY conversa
 SELECT doc_id, pos, regexp_replace(raw, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS paragraph FROM p WHERE length(regexp_replace(raw, '[^a-zA-Z0-9]', '', 'g')) >= 3""",
     "pair_parse": "SELECT edge_id, least(source_node_id, target_node_id) AS a, greatest(source_node_id, target_node_id) AS b FROM search_edge_stats",
 }
+
+
+def streaming_ingest(s, d):
+    """The delivered export records through a file stream into a store, one copy of each uuid: what the store then holds."""
+    from threadloom.session import shared_folder
+    from threadloom.streaming import ingest
+
+    import uuid
+
+    source = table(s, d, "conversation_export").select("delivery_id", "batch_no", "uuid", "name")
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    source.write.parquet(f"{base}/in")
+    records = ingest.read_stream(s, f"{base}/in", 20, "parquet", source.schema)
+    ingest.ingest_stream(records, f"{base}/store", f"{base}/check", arrival="delivery_id").awaitTermination()
+    return s.read.parquet(f"{base}/store").select("message_key")
+
+
+QUERIES["streaming_ingest"] = streaming_ingest
+ORACLE["streaming_ingest"] = "SELECT DISTINCT lower(replace(replace(replace(trim(uuid), '-', ''), '{', ''), '}', '')) AS message_key FROM conversation_export WHERE uuid IS NOT NULL"
