@@ -73,7 +73,7 @@ def code_line_score(line: Column | str) -> Column:
     score = (
         add(trimmed.rlike(CODE_WORDS), 2.0)
         + add(trimmed.rlike(r"[;{}]$"), 1.5)
-        + add(symbols / F.length(trimmed) >= CODE_SYMBOL_RATIO, 1.5)
+        + add(F.try_divide(symbols, F.length(trimmed)) >= CODE_SYMBOL_RATIO, 1.5)
         + add((lead >= 4) | line.startswith("\t"), 1.0)
         + add(trimmed.rlike(r'^.*"[A-Za-z0-9_]+"\s*:\s*.*$'), 1.5)
         + add(F.size(named) >= 2, 1.0)

@@ -17,7 +17,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     """Cosine of two vectors; 0 where a norm is 0 or the value is not finite; null where lengths differ or a vector is null."""
-    value = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     safe = F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
     return F.when(F.size(_c(a)) == F.size(_c(b)), safe)
 

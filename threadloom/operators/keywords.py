@@ -31,7 +31,7 @@ def select_keywords(scores: DataFrame, key: str) -> DataFrame:
         key, "term", "score", F.row_number().over(order).alias("rn"), F.max("score").over(every).alias("best"), F.sum("score").over(every).alias("total"),
         F.coalesce(F.sum("score").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"),
     )
-    kept = (F.col("best") > 0) & (F.col("rn") <= MOST_KEYWORDS) & (F.col("score") / F.col("best") >= LEAST_OF_MAX) & ((F.col("rn") == 1) | (F.col("before") < MASS * F.col("total")))
+    kept = (F.col("best") > 0) & (F.col("rn") <= MOST_KEYWORDS) & (F.try_divide(F.col("score"), F.col("best")) >= LEAST_OF_MAX) & ((F.col("rn") == 1) | (F.col("before") < MASS * F.col("total")))
     return ranked.filter(kept).select(key, "term", "score", "rn")
 
 

@@ -33,7 +33,7 @@ def term_stats(posts: DataFrame) -> DataFrame:
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     """One row (n_docs, avgdl): all documents count for n_docs, those with tokens for avgdl, which is 1 where there are none."""
     dl = F.size(tokens(F.coalesce(text, F.lit("")) if isinstance(text, str) else text))
-    return docs.select(dl.alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl") / F.count_if(F.col("dl") > 0), F.lit(1.0)).alias("avgdl"))
+    return docs.select(dl.alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.try_divide(F.sum("dl"), F.count_if(F.col("dl") > 0)), F.lit(1.0)).alias("avgdl"))
 
 
 def _within(a: Column, b: Column, most: Column) -> Column:
