@@ -18,6 +18,7 @@ from threadloom.session import cut
 #: What a term is (fixed value: the definition of the data).
 TERM = r"[\p{L}\p{N}_]+"
 HEAVY = 2048
+MU = 2000.0
 
 
 def term_counts(records: DataFrame, record: str, text: str) -> DataFrame:
@@ -27,18 +28,18 @@ def term_counts(records: DataFrame, record: str, text: str) -> DataFrame:
     return words.groupBy("record", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def distinctiveness(records: DataFrame, record: str, text: str, mu: float | None = None, min_df: int = 2, only: DataFrame | None = None) -> DataFrame:
+def distinctiveness(records: DataFrame, record: str, text: str, mu: float = MU, min_df: int = 2, only: DataFrame | None = None) -> DataFrame:
     """(record, term, tf, df, score) of every term with a document frequency of at least `min_df`.
 
-    `mu` is the weight of the collection; None takes the mean length of a record. `only` (a table with the column `record`)
+    `mu` is the weight of the collection, 2000 as published for Dirichlet smoothing; a small one favours a word that is frequent in its record
+    though common everywhere. `only` (a table with the column `record`)
     restricts whose terms are given, not the statistics. Repeated texts are records of their own. A record whose terms are all rarer than
     `min_df` has no rows. An empty table gives no rows.
     """
     counts = cut(term_counts(records, record, text))
     stats = cut(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
-    totals = stats.agg(F.sum("cf").alias("total")).crossJoin(F.broadcast(counts.agg(F.count_distinct("record").alias("n")))).first()
-    total, n = totals["total"] or 0, totals["n"] or 0
-    weight = float(mu if mu is not None else total / max(1, n))
+    total = stats.agg(F.sum("cf").alias("total")).first().total or 0
+    weight = float(mu)
     wanted = counts if only is None else counts.join(only.select("record").distinct(), "record", "left_semi")
     heavy = stats.filter(F.col("cf") * HEAVY >= total)
     light = stats.filter((F.col("cf") * HEAVY < total) & (F.col("df") >= min_df))

@@ -71,7 +71,7 @@ ORACLE = {
     "p1_found": _TURNS,
     "p2_found": "WITH " + _BASKETS + "SELECT node_lo, node_hi FROM scored WHERE npmi >= 0.51",
     "p2_associations": "WITH " + _BASKETS + "SELECT user_id, node_lo, node_hi, n_common, n_lo, n_hi, n_total, round(npmi, 6) AS npmi FROM scored WHERE npmi >= 0.51",
-    "p3_found": _scores("(t.total / t.n::DOUBLE)")
+    "p3_found": _scores("2000.0")
     + """SELECT fragment_id, arg_max(term, score) AS term FROM scores WHERE fragment_id IN (SELECT fragment_id FROM fragment_probe WHERE purpose = 'keyword') GROUP BY fragment_id""",
     "p3_scores": _scores("50.0") + "SELECT fragment_id, term, tf, df, round(score, 6) AS score FROM scores",
     "p8_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
