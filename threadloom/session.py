@@ -5,12 +5,32 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give every executor, also one that joins later, this package, so that Python steps run wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="threadloom-code-")) / "threadloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in home.rglob("*.py"):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table `name` below `root` (a file or a folder of files)."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
