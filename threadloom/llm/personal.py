@@ -50,7 +50,7 @@ NUMBER = re.compile(
     r"[A-Z]{2}[  ]?\d{2}(?:[  ]?\d{2}){2}[  ]?[A-Z](?!\w)"  # letters, digits, letter
     r"|[A-Z]{1,3}\d{5,9}(?!\w)"
     r"|\d{7,9}[ ‐-–-]?[A-Z](?!\w)"
-    rf"|\+?(?:\(\d{{1,5}}\)[  ]?)?\d+(?:(?:[  ]?\(\d{{1,4}}\)[  ]?|{_SEP})\d+)*(?!\w)"
+    rf"|\+?(?:\(\d{{1,5}}\)[  ]?)?\d+(?:(?:[  ]?\(\d{{1,4}}\)[  ]?|{_SEP}(?!\d{{4}}-\d\d-\d\d))\d+)*(?!\w)"
     r")"
 )
 _CAPS = rf"[{_UP}][\w-]*(?:{_GAP}[{_UP}][\w-]*){{0,3}}"
@@ -68,20 +68,28 @@ ADDRESS_ES = re.compile(
 )
 NAME = re.compile(rf"(?<![\w’'-])(?=(?P<a>[{_UP}][{_UP}{_LOW}’']+)(?:{_GAP}(?:(?P<i>[{_UP}]\.){_GAP})?(?P<b>{_WORD}(?:-{_WORD})*)|,{_GAP}(?P<c>{_WORD}))(?![\w’'-]))")
 #: Lower-case names only where the given name is listed or a cue stands before (fixed values: public vocabulary).
+_CUE = re.compile(rf"\b(?:name is|name ist|appelle|me llamo|nombre es){_GAP}[a-zß-öø-ÿ]")
+_LOWER_WORD = re.compile("[a-zß-öø-ÿ]{3,}")
 LOWER = re.compile(rf"(?:(?P<cue>\b(?:name is|name ist|appelle|me llamo|nombre es){_GAP})|(?<![\w’'-]))(?P<a>[a-zß-öø-ÿ]{{3,}}){_GAP}(?P<b>[a-zß-öø-ÿ]{{3,}}(?:-[a-zß-öø-ÿ]{{3,}})*)(?![\w’'-])")
 FAMILY_FIRST = re.compile(rf"(?<![\w’'-])(?=(?P<b>{_WORD}(?:-{_WORD})*),{_GAP}(?P<a>{_WORD})(?:{_GAP}(?P<i>[{_UP}]\.))?(?![\w’'-]))")
 _CONTEXT = re.compile(r"\w+|[^\w\s]")
+_WORDS = re.compile(r"\w+")
 _HEAD = re.compile(r"(?:\[\d\d:\d\d\]|\b(?:Human|Assistant):)\s*$")
 
 
 def _patterns(text: str, a: int, b: int) -> list[str]:
-    """The words around a stretch: one before, two before, two after, and one on either side; line starts and turns as ^."""
+    """The contexts of a stretch on its line: the word before, two words before, what follows, the word before with what follows, and a dash before.
+
+    Line starts and chat turns count as the word ^; punctuation before the stretch is passed over.
+    """
     before = text[max(0, a - 60) : a].rpartition("\n")[2]
-    left = [] if _HEAD.search(before) else _CONTEXT.findall(before.lower())[-3:]
+    if _HEAD.search(before):
+        before = ""
     after = text[b : b + 40].partition("\n")[0].rstrip("\r")
+    left = ["^", "^", *_WORDS.findall(before.lower())[-2:]]
     right = _CONTEXT.findall(after.lower())[:2] or ["$"]
-    left = ["^", "^", *left]
-    return [f"1 {left[-1]}", f"2 {left[-2]} {left[-1]}", f"3 {' '.join(right)}", f"4 {left[-1]} _ {right[0]}"]
+    dash = ["5 --"] if before.rstrip().endswith("--") else []
+    return [f"1 {left[-1]}", f"2 {left[-2]} {left[-1]}", f"3 {' '.join(right)}", f"4 {left[-1]} _ {right[0]}", *dash]
 
 
 def pii_key(stretch: str) -> str:
@@ -146,7 +154,7 @@ def candidates_of(text: str, listed: frozenset[str]) -> Iterator[tuple[int, int,
             given = m["a"].lower()
             straight.add(m.start())
             yield m.start(), m.end("b"), "name", given, m["b"].lower(), "name" if given in listed else "", _patterns(text, m.start(), m.end("b"))
-    at = 0
+    at = 0 if not listed.isdisjoint(_LOWER_WORD.findall(text)) or _CUE.search(text) else len(text)
     while m := LOWER.search(text, at):
         at = m.end("a")
         if m["cue"] or m["a"] in listed:
@@ -177,14 +185,15 @@ def candidates(documents: DataFrame, listed: frozenset[str], record: str = "doc_
 
 #: Which kinds a candidate of a shape may be, and the confidence from which a pattern vouches.
 SHAPE_KINDS = {"lower": ["name"], "email": ["email"], "number": ["phone", "id_number"], "address": ["address"], "name": ["name"]}
-VOUCHES = {"email": 0.3, "phone": 0.3, "id_number": 0.3, "address": 0.3, "name": 0.4}
+VOUCHES = {"email": 0.3, "phone": 0.1, "id_number": 0.1, "address": 0.3, "name": 0.4}
 SMOOTH = 0.5
+ROUNDS = 6
 RARE = 0.25
 #: The belief from which a candidate is personal information.
 ACCEPT = {"email": 0.5, "phone": 0.5, "id_number": 0.5, "address": 0.7, "name": 0.45}
 
 
-def bootstrap(found: DataFrame, rounds: int = 4) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, shape, inst, mate, seed, pats, n, by_pattern, by_inst, by_mate): confidences of every distinct combination after the rounds.
 
     A pattern's confidence is the mean belief in what it surrounds, an instance's the mean of the best confident pattern of each
@@ -204,17 +213,21 @@ def bootstrap(found: DataFrame, rounds: int = 4) -> DataFrame:
         scored = edges.join(best, ["kind", "e"], "left").fillna(0.0, ["by_pattern"])
         scored = cut(scored)
         seeded = F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed") != "", 0.0).otherwise(F.col("by_pattern"))
-        def conf(c: str) -> DataFrame:
-            own = scored.filter(F.col(c) != "").groupBy("kind", c).agg(F.sum(seeded * F.col("n")).alias("s"), F.sum("n").alias("t"))
-            return own.select("kind", c, (F.col("s") / (F.col("t") + SMOOTH)).alias(f"by_{c}"), ((F.col("s") + 1) / (F.col("t") + 2)).alias(f"may_{c}"))
-
-        known = scored.join(conf("inst"), ["kind", "inst"], "left").join(conf("mate").drop("may_mate"), ["kind", "mate"], "left")
-        known = known.fillna(0.0, ["by_inst", "by_mate", "may_inst"])
+        def support(c: str) -> DataFrame:
+            return scored.filter(F.col(c) != "").groupBy("kind", c).agg(F.sum(seeded * F.col("n")).alias("s"), F.sum("n").alias("t"))
+
+        inst = support("inst").select("kind", "inst", (F.col("s") / (F.col("t") + SMOOTH)).alias("by_inst"), ((F.col("s") + 1) / (F.col("t") + 2)).alias("may_inst"), (F.col("t") - F.col("s")).alias("idle"))
+        # A word that begins unsupported candidates more often than it ends supported ones is an ordinary word, no family name.
+        words = inst.select("kind", F.col("inst").alias("mate"), "idle")
+        mate = support("mate").join(words, ["kind", "mate"], "left").select("kind", "mate", (F.col("s") / (F.col("t") + SMOOTH)).alias("by_mate"), (F.coalesce("idle", F.lit(0.0)) > F.col("s")).alias("ordinary"))
+        known = scored.join(inst.drop("idle"), ["kind", "inst"], "left").join(mate, ["kind", "mate"], "left")
+        known = known.fillna(0.0, ["by_inst", "by_mate", "may_inst"]).fillna({"ordinary": False})
         # A family name vouches for a given name unless that is a word seen often without any support.
         kin = F.when(F.col("may_inst") >= RARE, F.col("by_mate")).otherwise(0.0)
         belief = F.when(F.col("kind") == "name", F.greatest("by_inst", F.least("by_pattern", "by_mate"), kin)).otherwise(F.col("by_inst"))
         belief = F.when(F.col("shape") == "lower", F.least(belief, F.greatest("by_mate", "by_pattern"))).otherwise(belief)
-        known = known.withColumn("belief", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed") != "", 0.0).otherwise(belief))
+        belief = F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed") != "", 0.0).otherwise(belief)
+        known = known.withColumn("belief", F.when((F.col("kind") == "name") & F.col("ordinary"), 0.0).otherwise(belief))
     return known
 
 
@@ -239,7 +252,7 @@ def listed_names(given_name: DataFrame) -> frozenset[str]:
 SPAN = "array<struct<start:int,stop:int,kind:string,pii_key:string>>"
 
 
-def find(documents: DataFrame, given_name: DataFrame, rounds: int = 4) -> DataFrame:
+def find(documents: DataFrame, given_name: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, spans) of the documents with personal information: start, stop, kind and pii_key of each stretch, in order, without overlap.
 
     Null, empty and blank texts have none. Repeated texts are found alike. Only the text and its contexts count; lang and source are not read.
