@@ -67,7 +67,17 @@ scores AS (SELECT fragment_id, term, tf, df, p * ln(p / bg) AS score FROM smooth
     )
 
 
+_NEAR = """
+u AS (SELECT fragment_id AS id, embedding::DOUBLE[] AS v FROM semantic_fragments WHERE embedding IS NOT NULL AND len(embedding) = 128
+      AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = 128 AND list_sum(list_transform(embedding, lambda x : abs(x))) > 0),
+near AS (SELECT q.id AS query_id, o.id AS other_id, list_cosine_similarity(q.v, o.v) AS cosine, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, o.v) DESC, o.id) AS place
+         FROM u q JOIN u o ON q.id <> o.id WHERE q.id IN (SELECT fragment_id FROM asked) QUALIFY place <= 10)
+"""
+
 ORACLE = {
+    # exact neighbours; at the size of the comparison every list is probed, so the index loses none
+    "p7_found": "WITH asked AS (SELECT fragment_id FROM fragment_probe WHERE purpose = 'neighbour')," + _NEAR + "SELECT DISTINCT least(query_id, other_id) AS fragment_lo, greatest(query_id, other_id) AS fragment_hi FROM near",
+    "p7_neighbours": "WITH asked AS (SELECT fragment_id FROM semantic_fragments WHERE fragment_id % 100 = 0)," + _NEAR + "SELECT query_id, place::INTEGER AS place, other_id, round(cosine, 5) AS cosine FROM near",
     "p1_found": _TURNS,
     "p2_found": "WITH " + _BASKETS + "SELECT node_lo, node_hi FROM scored WHERE npmi >= 0.51",
     "p2_associations": "WITH " + _BASKETS + "SELECT user_id, node_lo, node_hi, n_common, n_lo, n_hi, n_total, round(npmi, 6) AS npmi FROM scored WHERE npmi >= 0.51",
