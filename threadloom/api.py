@@ -44,6 +44,7 @@ class Engine:
         self.spark, self.tables, self.model = spark, dict(tables), model
         self.jobs = jobs or SearchJobs(spark)
         self._near: DataFrame | None = None
+        self._index: lexical.Index | None = None
 
     # ---- write path ----
     @timed
@@ -91,7 +92,7 @@ class Engine:
             side = lambda c: counts.select(F.col("node_id").alias(f"{c}_node_id"), F.col("fragment_count").alias(f"{c}_fragment_count"))
             edges = edges.join(side("source"), "source_node_id").join(side("target"), "target_node_id").withColumn("edge_id", F.struct("source_node_id", "target_node_id"))
             totals = self.tables["semantic_fragments"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-            self._near = cut(graph.adjacency(graph.npmi_edges(edges, totals, strict=False)))
+            self._near = cut(graph.adjacency(graph.npmi_edges(edges, totals, strict=False))).persist()
         return self._near
 
     def _mapping(self) -> DataFrame:
@@ -102,7 +103,13 @@ class Engine:
 
     def search_lexical(self, user_id: int, text: str, limit: int = 50) -> DataFrame:
         """(fragment_id, score) of the user's best fragments."""
-        return lexical.search(self.tables["semantic_fragments"], "fragment_id", "text", text, ("user_id", user_id), limit)
+        return lexical.search_index(self.index(), text, user_id, limit)
+
+    def index(self) -> lexical.Index:
+        """The inverted index of all fragments, built once and kept for serving."""
+        if self._index is None:
+            self._index = lexical.build_index(self.tables["semantic_fragments"], "fragment_id", "text", "user_id").persist()
+        return self._index
 
     def extract_messages(self, lexical_hits: DataFrame, graph_hits: DataFrame | None = None) -> list[dict]:
         """Fused messages of two hit lists, best first: message_id and score. At most 20 rows reach the driver."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,32 +78,56 @@ def check_query(query: str, user_id: int | None = None, limit: int = 50) -> None
         raise ValueError("limit must be 1 to 100")
 
 
-def search(docs: DataFrame, key: str, text: str, query: str, user: tuple[str, int] | None = None, limit: int = 50, fuzzy: bool = True, stats_scope: str = "index") -> DataFrame:
+@dataclass
+class Index:
+    """An inverted index as tables: postings (key, user column if any, term, tf, dl), term statistics, and one row of corpus statistics."""
+
+    key: str
+    posts: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+    user: str | None = None
+
+    def persist(self) -> Index:
+        """The same index kept by the executors, for serving many searches; a lost part is made again from its lineage."""
+        posts = self.posts.persist()
+        return Index(self.key, posts, term_stats(posts).persist(), self.stats.persist(), self.user)
+
+
+def build_index(docs: DataFrame, key: str, text: str, user: str | None = None) -> Index:
+    posts = postings(docs, key, text, [user] if user else [])
+    return Index(key, posts, term_stats(posts), corpus_stats(docs, text), user)
+
+
+def search_index(index: Index, query: str, user_id: int | None = None, limit: int = 50, fuzzy: bool = True) -> DataFrame:
     """(key, score) of the `limit` best documents: for each distinct query token the better of 3 * exact BM25 and the fuzzy score, summed.
 
-    Statistics span the whole index, or the user's documents with stats_scope="user"; `user` is a column and its value. A fuzzy
-    match counts with the largest df of its token's expansions and its boost. Ties go to the smaller key. No token, no rows.
+    A fuzzy match counts with the largest df of its token's expansions and its boost. Ties go to the smaller key. No token, no rows.
     """
-    check_query(query, user[1] if user else None, limit)
-    spark = docs.sparkSession
-    if user and stats_scope == "user":
-        docs = docs.filter(F.col(user[0]) == user[1])
-    asked = spark.range(1).select(F.explode(query_tokens(F.lit(query))).alias("token"))
-    stats = corpus_stats(docs, text)
-    posts = postings(docs, key, text, [user[0]] if user else [])
-    vocabulary = term_stats(posts)
-    exact = asked.join(vocabulary.select("term", "df"), F.col("token") == F.col("term")).select("token", "term", "df", F.lit(EXACT_BOOST).alias("boost"))
+    check_query(query, user_id, limit)
+    key, posts, vocabulary = index.key, index.posts, index.vocabulary
+    asked = posts.sparkSession.range(1).select(F.explode(query_tokens(F.lit(query))).alias("token"))
+    # one row per token, so at most 250, broadcast
+    exact = vocabulary.select("term", "df").join(F.broadcast(asked), F.col("token") == F.col("term")).select("token", "term", "df", F.lit(EXACT_BOOST).alias("boost"))
     clauses = exact
     if fuzzy:
         expanded = fuzzy_terms(asked, vocabulary)
         blended = expanded.withColumn("df", F.max("df").over(Window.partitionBy("token"))).select("token", "term", "df", "boost")
         clauses = exact.unionByName(blended)
+    hits = posts if user_id is None else posts.filter(F.col(index.user) == user_id)
     # at most 250 tokens with 51 clauses each
-    hits = posts.join(F.broadcast(clauses), "term").crossJoin(F.broadcast(stats))
-    if user:
-        hits = hits.filter(F.col(user[0]) == user[1])
+    hits = hits.join(F.broadcast(clauses), "term").crossJoin(F.broadcast(index.stats))
     part = F.col("boost") * search_bm25(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    kind = (F.col("boost") == EXACT_BOOST).alias("exact")
-    # a token's fuzzy clause sums its terms; the better clause counts
-    clause = hits.select(key, "token", kind, part.alias("part")).groupBy(key, "token", "exact").agg(F.sum("part").alias("s"))
-    return clause.groupBy(key, "token").agg(F.max("s").alias("s")).groupBy(key).agg(F.sum("s").alias("score")).orderBy(F.col("score").desc(), key).limit(limit)
+    # a token's fuzzy clause sums its terms, the better clause counts: one aggregation per document, since a document's clauses are few
+    exact_part, fuzzy_part = F.when(F.col("boost") == EXACT_BOOST, part), F.when(F.col("boost") != EXACT_BOOST, part)
+    clause = hits.groupBy(key, "token").agg(F.sum(exact_part).alias("a"), F.sum(fuzzy_part).alias("b"))
+    best = F.greatest(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)))
+    return clause.groupBy(key).agg(F.sum(best).alias("score")).orderBy(F.col("score").desc(), key).limit(limit)
+
+
+def search(docs: DataFrame, key: str, text: str, query: str, user: tuple[str, int] | None = None, limit: int = 50, fuzzy: bool = True, stats_scope: str = "index") -> DataFrame:
+    """`search_index` over an index of `docs` made on the way. Statistics span all documents, or the user's with stats_scope="user"; `user` is a column and its value."""
+    check_query(query, user[1] if user else None, limit)
+    if user and stats_scope == "user":
+        docs = docs.filter(F.col(user[0]) == user[1])
+    return search_index(build_index(docs, key, text, user[0] if user else None), query, user[1] if user else None, limit, fuzzy)

@@ -100,6 +100,8 @@ UNION ALL SELECT delivery_id, msg_pos, pos, 'input', 0 FROM b WHERE e IS NOT NUL
         "p5_messages": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, m.uuid AS uuid, m.parent_message_uuid AS parent_message_uuid, m.index AS index, m.text AS text, m.sender AS sender, m.created_at AS created_at, m.updated_at AS updated_at", "m", "m IS NOT NULL"),
         "p5_contents": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, pos::INTEGER AS block_pos, e.type AS type, e.text AS text, e.thinking AS thinking, e.message AS message, e.name AS name, e.display_content AS display_content", "b", "e IS NOT NULL"),
         "p5_inputs": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, pos::INTEGER AS block_pos, e.input.id AS id, e.input.type AS type, e.input.title AS title, e.input.command AS command, e.input.content AS content, e.input.language AS language, e.input.version_uuid AS version_uuid", "b", "e IS NOT NULL AND e.input IS NOT NULL"),
+        "p5_attachments": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, pos::INTEGER AS item_pos, e.id AS id, e.file_name AS file_name, e.file_size AS file_size, e.file_type AS file_type, e.extracted_content AS extracted_content", "(SELECT delivery_id, msg_pos, generate_subscripts(m.attachments, 1) - 1 AS pos, unnest(m.attachments) AS e FROM m WHERE m IS NOT NULL)", "e IS NOT NULL"),
+        "p5_files": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, pos::INTEGER AS item_pos, e.file_uuid AS file_uuid, e.file_name AS file_name, e.file_type AS file_type, e.file_size AS file_size, e.created_at AS created_at", "(SELECT delivery_id, msg_pos, generate_subscripts(m.files, 1) - 1 AS pos, unnest(m.files) AS e FROM m WHERE m IS NOT NULL)", "e IS NOT NULL"),
         "p5_conversations": "SELECT delivery_id, batch_no, uuid, name, summary, created_at, updated_at, account.uuid AS account_uuid, account.email AS account_email, coalesce(len(list_filter(chat_messages, lambda m : m IS NOT NULL)), 0)::INTEGER AS n_messages FROM conversation_export",
         "p6_found": f"""WITH {SAME_MESSAGE}, {_EXPORT_KEYS.replace('ids AS', 'xids AS')}
 SELECT 'chat_message' AS source_table, delivery_id FROM ids ANTI JOIN kept USING (delivery_id)

@@ -60,7 +60,7 @@ def _seed_hits(s, d):
 
 
 def _reached(s, d):
-    near = graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == USER))
+    near = cut(graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == USER)))
     return graph.traverse(_roots(s, d), near)
 
 
@@ -93,7 +93,7 @@ def keyword_centroid(s, d):
 
 def phrase_centroid(s, d):
     c = keywords.phrase_centroids(_found(s, d), _keyword_centroids(s, d), "user_id")
-    return c.select("user_id", "phrase", "n", F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return c.select("user_id", "phrase", "n", (F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
 
 
 def indirect_edges_jaccard(s, d):
@@ -139,7 +139,7 @@ def fast_search(s, d, user: int = USER, query: str = QUERY):
     one = hits.withColumn("q", F.lit(0))
     seeds = retrieve.select_seeds(one, "fragment_id", "score", ["q"]).select("fragment_id", "score")
     mapping, nodes = _mapping(s, d), table(s, d, "semantic_node")
-    near = graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == user))
+    near = cut(graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == user)))
     reached = graph.traverse(graph.seed_nodes(seeds, mapping, nodes, user), near)
     found = graph.fragment_hits(reached, mapping).withColumn("q", F.lit(0))
     links = _frag(s, d).select("fragment_id", "message_id")
@@ -238,28 +238,33 @@ pos AS (SELECT * FROM edges WHERE npmi > 0),
 sym AS (SELECT user_id, source_node_id AS node, target_node_id AS neighbor, npmi, source_node_id AS e1, target_node_id AS e2 FROM pos UNION ALL SELECT user_id, target_node_id, source_node_id, npmi, source_node_id, target_node_id FROM pos),
 adj AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(npmi, 12) DESC, e1, e2) AS edge_rank FROM sym QUALIFY edge_rank <= 3)
 """
-_TRAV = f"""{_MAP}, seeds AS (SELECT fragment_id, 10.0::DOUBLE / fragment_id AS score FROM semantic_fragments WHERE user_id = {USER} ORDER BY fragment_id LIMIT 10),
-h0 AS (SELECT l.node_id AS node, max(score) AS score FROM links l JOIN seeds USING (fragment_id) WHERE l.user_id = {USER} GROUP BY ALL),
+_HOPS = f"""h0 AS (SELECT l.node_id AS node, max(score) AS score FROM links l JOIN seeds USING (fragment_id) WHERE l.user_id = {USER} GROUP BY ALL),
 h1 AS (SELECT neighbor AS node, max(score * npmi) AS score FROM h0 JOIN adj USING (node) GROUP BY ALL),
 h2 AS (SELECT neighbor AS node, max(score * npmi) AS score FROM h1 JOIN adj USING (node) GROUP BY ALL),
 h3 AS (SELECT neighbor AS node, max(score * npmi) AS score FROM h2 JOIN adj USING (node) GROUP BY ALL),
 best AS (SELECT node, max(score) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY node)
 """
+_TRAV = f"""{_MAP}, seeds AS (SELECT fragment_id, 10.0::DOUBLE / fragment_id AS score FROM semantic_fragments WHERE user_id = {USER} ORDER BY fragment_id LIMIT 10),
+{_HOPS}"""
 
 
-def _search_sql(fuzzy: bool) -> str:
+def _search_ctes(fuzzy: bool) -> str:
     clauses = "SELECT token, term, df, 3.0::DOUBLE AS boost FROM toks JOIN stats ON term = token"
     if fuzzy:
         clauses += " UNION ALL SELECT token, term, max(df) OVER (PARTITION BY token), boost FROM fz"
-    return f"""WITH {_POST}, toks AS (SELECT DISTINCT unnest(regexp_extract_all(lower('{QUERY}'), '[\\p{{L}}\\p{{N}}_]+')) AS token),
+    return f"""{_POST}, toks AS (SELECT DISTINCT unnest(regexp_extract_all(lower('{QUERY}'), '[\\p{{L}}\\p{{N}}_]+')) AS token),
 fz AS (SELECT token, term, df, 1 - e / least(length(token), length(term))::DOUBLE AS boost FROM (
    SELECT token, term, df, damerau_levenshtein(token, term) AS e FROM toks JOIN stats ON abs(length(term) - length(token)) <= 2 WHERE length(token) > 2)
    WHERE e <= CASE WHEN length(token) >= 7 THEN 2 ELSE 1 END QUALIFY row_number() OVER (PARTITION BY token ORDER BY boost DESC, term) <= 50),
 cl AS ({clauses}),
 parts AS (SELECT p.fragment_id, token, boost = 3.0 AS exact, sum(boost * ln(1 + (n - c.df + 0.5) / (c.df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
    FROM posts p JOIN cl c USING (term) JOIN lens USING (fragment_id), corpus WHERE user_id = {USER} GROUP BY ALL),
-tk AS (SELECT fragment_id, token, max(s) AS s FROM parts GROUP BY ALL)
-SELECT fragment_id, round(sum(s), 6) AS score FROM tk GROUP BY fragment_id ORDER BY sum(s) DESC, fragment_id LIMIT 50"""
+tk AS (SELECT fragment_id, token, max(s) AS s FROM parts GROUP BY ALL),
+lex AS (SELECT fragment_id, sum(s) AS score FROM tk GROUP BY fragment_id ORDER BY score DESC, fragment_id LIMIT 50)"""
+
+
+def _search_sql(fuzzy: bool) -> str:
+    return f"WITH {_search_ctes(fuzzy)} SELECT fragment_id, round(score, 6) AS score FROM lex"
 
 
 _VEC = "list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))"
@@ -277,7 +282,27 @@ top AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(score
 """
 _U = "((('0x' || substr(sha256('0:' || fragment_id), 1, 12))::BIGINT)::DOUBLE + 0.5) / pow(16, 12)::DOUBLE"
 
+_FAST = f"""WITH {_search_ctes(True)}, {_MAP},
+r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY score DESC, fragment_id) AS rn FROM lex),
+dd AS (SELECT *, CASE WHEN n > 20 THEN n // 2 ELSE n END AS m, 50 * (CASE WHEN n > 20 THEN n // 2 ELSE n END) // 100 AS d FROM r),
+rest AS (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi FROM dd WHERE rn > d),
+drawn AS (SELECT *, -ln({_U}) / exp((CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END - 1) / 0.4) AS c FROM rest),
+seeds AS (SELECT fragment_id, score FROM dd WHERE rn <= d UNION ALL SELECT fragment_id, score FROM drawn QUALIFY row_number() OVER (ORDER BY c, fragment_id) <= m - d),
+{_HOPS},
+gh AS (SELECT m.fragment_id, max(b.score) AS score FROM map m JOIN best b ON b.node = m.node_id GROUP BY ALL),
+hits AS (SELECT 'l' AS list, * FROM lex UNION ALL SELECT 'g', * FROM gh WHERE score > 0),
+ord AS (SELECT list, message_id, row_number() OVER (PARTITION BY list ORDER BY score DESC, fragment_id) AS p FROM hits JOIN semantic_fragments USING (fragment_id) WHERE message_id IS NOT NULL),
+firsts AS (SELECT list, message_id, min(p) AS p FROM ord GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY p, message_id) AS rank FROM firsts),
+fused AS (SELECT message_id, sum(1.0 / (60 + rank)) AS score FROM ranks GROUP BY ALL)
+SELECT message_id, round(score, 9) AS score, (row_number() OVER (ORDER BY round(score, 12) DESC, message_id))::INTEGER AS place FROM fused QUALIFY place <= 20"""
+
 ORACLE = {
+    "fast_search": _FAST,
+    "phrase_centroid": f"""WITH {_FOUND}, e AS (SELECT nk.keyword, f.user_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM nk JOIN semantic_fragments f USING (fragment_id) WHERE {_FINE}),
+kc AS (SELECT user_id, keyword, pos, avg(x) AS x FROM e GROUP BY ALL), pk AS (SELECT DISTINCT user_id, phrase, keyword FROM found),
+pc AS (SELECT user_id, phrase, pos, avg(x) AS x, count(*) AS n FROM pk JOIN kc USING (user_id, keyword) GROUP BY ALL)
+SELECT user_id, phrase, max(n) AS n, round(sum(x), 4) + 0.0 AS total FROM pc GROUP BY ALL""",
     "postings_tf": f"WITH {_POST} SELECT fragment_id, term, tf, dl::INTEGER AS dl FROM posts JOIN lens USING (fragment_id)",
     "term_df": f"WITH {_POST} SELECT term, df, cf FROM stats",
     "corpus_stats": f"WITH {_POST} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM corpus",
