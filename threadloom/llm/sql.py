@@ -74,7 +74,28 @@ near AS (SELECT q.id AS query_id, o.id AS other_id, list_cosine_similarity(q.v,
          FROM u q JOIN u o ON q.id <> o.id WHERE q.id IN (SELECT fragment_id FROM asked) QUALIFY place <= 10)
 """
 
+_WALK = """WITH RECURSIVE hits AS (
+  SELECT search_id, fragment_id, CASE WHEN NOT isnan(score) THEN score::DOUBLE END AS s0, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2 FROM lexical_hit
+  UNION ALL SELECT search_id, fragment_id, NULL, CASE WHEN NOT isnan(score) THEN score END, CASE WHEN NOT isnan(npmi) THEN npmi END FROM graph_hit),
+items AS (SELECT search_id, fragment_id, max(s0) AS s0, max(s1) AS s1, max(s2) AS s2 FROM hits WHERE search_id IS NOT NULL AND fragment_id IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT search_id, count(*) AS n FROM items GROUP BY ALL),
+long AS (SELECT search_id, fragment_id, unnest([0, 1, 2]) AS s, unnest([s0, s1, s2]) AS v FROM items),
+tops AS (SELECT search_id, s, max(v) AS top FROM long GROUP BY ALL),
+steps AS (SELECT a.search_id, a.s, a.fragment_id AS i, b.fragment_id AS j FROM long a JOIN tops t USING (search_id, s) JOIN long b ON b.search_id = a.search_id AND b.s = a.s
+          WHERE CASE WHEN t.top IS NULL OR a.v = t.top THEN true WHEN a.v IS NULL THEN b.v IS NOT NULL ELSE b.v >= a.v END),
+reach AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY search_id, s, i) / 3 AS p FROM steps),
+chance AS (SELECT search_id, i, j, sum(p) AS p FROM reach GROUP BY ALL),
+walk AS (SELECT 0 AS step, search_id, fragment_id, 1.0::DOUBLE / n AS x FROM items JOIN sizes USING (search_id)
+         UNION ALL
+         SELECT w.step + 1, w.search_id, c.j, 0.5::DOUBLE / any_value(z.n) + 0.5::DOUBLE * sum(w.x * c.p) FROM walk w JOIN chance c ON c.search_id = w.search_id AND c.i = w.fragment_id JOIN sizes z ON z.search_id = w.search_id
+         WHERE w.step < 30 GROUP BY w.step, w.search_id, c.j),
+-- items nobody steps to have the restart's share alone
+final AS (SELECT i.search_id, i.fragment_id, coalesce(w.x, 0.5::DOUBLE / z.n) AS weight FROM items i JOIN sizes z USING (search_id) LEFT JOIN (SELECT * FROM walk WHERE step = 30) w USING (search_id, fragment_id))
+"""
+
 ORACLE = {
+    "p4_found": _WALK + "SELECT search_id, fragment_id FROM final QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY round(weight, 12) DESC, fragment_id) <= 3",
+    "p4_ranking": _WALK + "SELECT search_id, fragment_id, round(weight, 9) AS weight FROM final",
     # exact neighbours; at the size of the comparison every list is probed, so the index loses none
     "p7_found": "WITH asked AS (SELECT fragment_id FROM fragment_probe WHERE purpose = 'neighbour')," + _NEAR + "SELECT DISTINCT least(query_id, other_id) AS fragment_lo, greatest(query_id, other_id) AS fragment_hi FROM near",
     "p7_neighbours": "WITH asked AS (SELECT fragment_id FROM semantic_fragments WHERE fragment_id % 100 = 0)," + _NEAR + "SELECT query_id, place::INTEGER AS place, other_id, round(cosine, 5) AS cosine FROM near",
