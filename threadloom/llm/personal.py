@@ -12,6 +12,7 @@ with the repetition of a corpus; all aggregates combine before their shuffle.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -234,11 +235,14 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def _resolved(spans: list[dict]) -> list[dict]:
     """Spans without overlap: emails first, then by belief, the mate's confidence and length; the earlier one at a tie."""
     order = sorted(spans, key=lambda s: (s["kind"] != "email", -s["belief"] - s["by_mate"], s["start"] - s["stop"], s["start"]))
-    taken: list[dict] = []
+    taken: list[tuple[int, int]] = []  # disjoint, so sorted by start and by stop alike
+    kept = []
     for s in order:
-        if all(s["stop"] <= t["start"] or s["start"] >= t["stop"] for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s["start"])
+        at = bisect.bisect_left(taken, (s["start"], s["stop"]))
+        if (at == 0 or taken[at - 1][1] <= s["start"]) and (at == len(taken) or taken[at][0] >= s["stop"]):
+            taken.insert(at, (s["start"], s["stop"]))
+            kept.append(s)
+    return sorted(kept, key=lambda s: s["start"])
 
 
 def listed_names(given_name: DataFrame) -> frozenset[str]:
