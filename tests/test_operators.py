@@ -3,7 +3,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from threadloom.operators import fragments, graph, keywords, lexical, phrases, retrieve
 
@@ -170,5 +169,15 @@ def test_extra_columns_do_not_clash(spark):
     hits = spark.createDataFrame([(1, 5, 2.0, "x", 1)], "q int, fragment_id long, score double, s string, f int")
     links = spark.createDataFrame([(5, 50, "y")], "fragment_id long, message_id long, score string")
     assert retrieve.message_order(hits, links, ["q"]).first().message_id == 50
-    assert graph.node_counts(spark.createDataFrame([(1, 2, 3)], "fragment_id int, node_id int, fragment_count int")).first().fragment_count == 1
-    assert F is not None
+    mapping = spark.createDataFrame([(1, 5, 2, 9.0, 9.0, "z")], "mapping_id long, fragment_id long, node_id long, fragment_count double, score double, node string")
+    assert graph.node_counts(mapping).first().fragment_count == 1
+    nodes = spark.createDataFrame([(2, 1, "a", 3.0)], "node_id long, user_id long, label string, score double")
+    roots = graph.seed_nodes(hits, mapping, nodes, 1)
+    assert [tuple(r) for r in roots.collect()] == [(2, 2.0)]
+    assert [tuple(r) for r in graph.fragment_hits(roots, mapping).collect()] == [(5, 1, 2.0)]
+    edges = spark.createDataFrame([(1, 1, 2, 3, 3, 4, 5, 0.0, 7)], "edge_id long, user_id long, source_node_id long, target_node_id long, cooccurrence_count long, source_fragment_count long, target_fragment_count long, npmi double, n long")
+    totals = spark.createDataFrame([(1, 10, 0.5)], "user_id long, n long, npmi double")
+    assert round(graph.npmi_edges(edges, totals).first().npmi, 6) == 0.336773
+    from threadloom.operators.embed import embed_text
+
+    assert embed_text(spark.createDataFrame([("a", 1), (None, 2)], "t string, embedding int"), "t").columns == ["t", "embedding"]

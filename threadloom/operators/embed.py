@@ -37,7 +37,7 @@ def hashing_embedder(dim: int = DIM) -> Callable[[list[str]], list[np.ndarray]]:
 def embed_text(df: DataFrame, text: str, out: str = "embedding", model: Callable[[list[str]], list] | None = None) -> DataFrame:
     """`df` with the vector of each text. The model gets one list per Arrow batch and must answer in order; too few answers raise
     an error (NULL_EMBEDDINGS). A null text gets a null vector."""
-    model = model or hashing_embedder()
+    model, df = model or hashing_embedder(), df.drop(out)
     names, at = [*df.columns, out], df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,7 @@ def resolve_nodes(labels: DataFrame, existing: DataFrame) -> DataFrame:
 
 def map_fragments(found: DataFrame, nodes: DataFrame, key: str = "fragment_id") -> DataFrame:
     """(key, node_id, weight): each fragment and node once, weight 1."""
-    joined = found.join(nodes, ["user_id", "label"])
+    joined = found.select(key, "user_id", "label").join(nodes.select("user_id", "label", "node_id"), ["user_id", "label"])
     return joined.select(key, "node_id").distinct().withColumn("weight", F.lit(1.0).cast("float"))
 
 
@@ -109,7 +109,9 @@ def npmi_edges(edges: DataFrame, totals: DataFrame, strict: bool = True) -> Data
     `edges` has edge_id, user_id, source_node_id, target_node_id, cooccurrence_count, source_fragment_count and target_fragment_count; `totals`
     has user_id and n. Null counts give no NPMI and so no row.
     """
-    scored = edges.filter("cooccurrence_count > 0 and source_fragment_count is not null and target_fragment_count is not null").join(totals, "user_id")
+    fields = ["edge_id", "user_id", "source_node_id", "target_node_id", "cooccurrence_count", "source_fragment_count", "target_fragment_count"]
+    known = edges.filter("cooccurrence_count > 0 and source_fragment_count is not null and target_fragment_count is not null").select(fields)
+    scored = known.join(totals.select("user_id", "n"), "user_id")
     value = npmi(F.col("n"), F.col("source_fragment_count"), F.col("target_fragment_count"), F.col("cooccurrence_count"), strict)
     return scored.withColumn("npmi", value).filter("npmi > 0")
 
@@ -144,13 +146,14 @@ def traverse(roots: DataFrame, near: DataFrame, hops: int = HOPS, most: int = MO
 def seed_nodes(seeds: DataFrame, mapping: DataFrame, nodes: DataFrame, user_id: int) -> DataFrame:
     """(node, score): the best score of the seed fragments that hold a node of the user."""
     own = nodes.filter(F.col("user_id") == user_id).select("node_id")
-    linked = mapping.join(F.broadcast(seeds), "fragment_id").join(own, "node_id", "left_semi")
+    linked = mapping.select("fragment_id", "node_id").join(F.broadcast(seeds.select("fragment_id", "score")), "fragment_id").join(own, "node_id", "left_semi")
     return linked.groupBy(F.col("node_id").alias("node")).agg(F.max("score").alias("score"))
 
 
 def fragment_hits(best: DataFrame, mapping: DataFrame) -> DataFrame:
     """(fragment_id, mapping_id, score): each fragment's best node; at equal scores the smaller mapping id. At most 1,000 nodes are broadcast."""
-    joined = mapping.filter("fragment_id is not null").join(F.broadcast(best), mapping.node_id == best.node).select("fragment_id", "mapping_id", "score")
+    links = mapping.filter("fragment_id is not null").select("fragment_id", "mapping_id", F.col("node_id").alias("node"))
+    joined = links.join(F.broadcast(best.select("node", "score")), "node").select("fragment_id", "mapping_id", "score")
     pick = F.min_by(F.struct("mapping_id", "score"), F.struct(-F.col("score"), F.col("mapping_id")))
     return joined.groupBy("fragment_id").agg(pick.alias("p")).select("fragment_id", "p.mapping_id", "p.score")
 

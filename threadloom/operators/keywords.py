@@ -48,7 +48,7 @@ def phrases_with_keywords(fragments: DataFrame, keywords: DataFrame, key: str, u
     """
     own = fragments.select(key, user, F.explode(phrases).alias("raw")).select(key, user, normalize_phrase("raw").alias("phrase")).filter("phrase != ''").distinct()
     words = own.select(key, user, "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("keyword"))
-    return words.join(keywords, [key, "keyword"]).select(key, user, "phrase", "keyword")
+    return words.join(keywords.select(key, "keyword"), [key, "keyword"]).select(key, user, "phrase", "keyword")
 
 
 def phrase_occurrences(found: DataFrame, key: str, user: str) -> DataFrame:
@@ -68,7 +68,7 @@ def keyword_phrases(found: DataFrame, user: str) -> DataFrame:
 
 def keyword_centroids(fragments: DataFrame, keywords: DataFrame, key: str, user: str, embedding: str = "embedding") -> DataFrame:
     """(user, keyword, centroid, n): the mean vector of the fragments that selected the keyword. Fragments without a vector take no part."""
-    return mean_vectors(keywords.join(fragments.select(key, user, embedding), key), [user, "keyword"], embedding)
+    return mean_vectors(keywords.select(key, "keyword").join(fragments.select(key, user, embedding), key), [user, "keyword"], embedding)
 
 
 def phrase_centroids(found: DataFrame, centroids: DataFrame, user: str) -> DataFrame:

@@ -107,7 +107,11 @@ def graph_edges(s, d):
     nodes = cut(graph.resolve_nodes(labels, table(s, d, "semantic_node").select("node_id", "user_id", "label")))
     direct = graph.direct_edges(graph.phrase_pairs(labels, "fragment_id", "user_id"), nodes)
     indirect = graph.indirect_edges(graph.keyword_edges(found, "user_id"), nodes)
-    return graph.merge_edges(direct, indirect).select("user_id", "source_node_id", "target_node_id", "cooccurrence_count", "shared_keyword_count", F.round("overlap_score", 6).alias("overlap_score"))
+    merged = graph.merge_edges(direct, indirect)
+    # new nodes' ids come from a hash, so the edges are shown by label
+    for side in ("source", "target"):
+        merged = merged.join(nodes.select(F.col("node_id").alias(f"{side}_node_id"), F.col("label").alias(side)), f"{side}_node_id")
+    return merged.select("user_id", F.least("source", "target").alias("label_a"), F.greatest("source", "target").alias("label_b"), "cooccurrence_count", "shared_keyword_count", F.round("overlap_score", 6).alias("overlap_score"))
 
 
 def _query_vector(s, d):
@@ -297,7 +301,15 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY p, message_id)
 fused AS (SELECT message_id, sum(1.0 / (60 + rank)) AS score FROM ranks GROUP BY ALL)
 SELECT message_id, round(score, 9) AS score, (row_number() OVER (ORDER BY round(score, 12) DESC, message_id))::INTEGER AS place FROM fused QUALIFY place <= 20"""
 
+_JACCARD = f"""{_FOUND}, pk AS (SELECT DISTINCT user_id, phrase, keyword FROM found), sz AS (SELECT user_id, phrase, count(*) AS k FROM pk GROUP BY ALL),
+sh AS (SELECT a.user_id, a.phrase AS phrase_a, b.phrase AS phrase_b, count(*) AS shared FROM pk a JOIN pk b ON a.user_id = b.user_id AND a.keyword = b.keyword AND a.phrase < b.phrase GROUP BY ALL),
+jac AS (SELECT sh.*, shared / (x.k + y.k - shared)::DOUBLE AS overlap FROM sh JOIN sz x ON x.user_id = sh.user_id AND x.phrase = phrase_a JOIN sz y ON y.user_id = sh.user_id AND y.phrase = phrase_b)
+"""
+
 ORACLE = {
+    "graph_edges": f"""WITH {_JACCARD}, fl AS (SELECT DISTINCT fragment_id, user_id, phrase FROM found),
+co AS (SELECT a.user_id, a.phrase AS phrase_a, b.phrase AS phrase_b, count(*) AS n FROM fl a JOIN fl b ON a.fragment_id = b.fragment_id AND a.phrase < b.phrase GROUP BY ALL)
+SELECT user_id, phrase_a AS label_a, phrase_b AS label_b, coalesce(n, 0) AS cooccurrence_count, coalesce(shared, 0) AS shared_keyword_count, round(coalesce(overlap, 0.0), 6) AS overlap_score FROM co FULL JOIN jac USING (user_id, phrase_a, phrase_b)""",
     "fast_search": _FAST,
     "phrase_centroid": f"""WITH {_FOUND}, e AS (SELECT nk.keyword, f.user_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM nk JOIN semantic_fragments f USING (fragment_id) WHERE {_FINE}),
 kc AS (SELECT user_id, keyword, pos, avg(x) AS x FROM e GROUP BY ALL), pk AS (SELECT DISTINCT user_id, phrase, keyword FROM found),
@@ -324,9 +336,7 @@ SELECT a.user_id, a.label AS label_a, b.label AS label_b, count(*) AS n FROM ok
     "graph_traverse_3hop": f"WITH {_TRAV} SELECT node, round(score, 6) AS score FROM best",
     "graph_fragment_hits": f"""WITH {_TRAV} SELECT fragment_id, mapping_id, round(score, 6) AS score FROM (SELECT m.fragment_id, m.mapping_id, b.score FROM map m JOIN best b ON b.node = m.node_id
 QUALIFY row_number() OVER (PARTITION BY m.fragment_id ORDER BY b.score DESC, m.mapping_id) = 1)""",
-    "indirect_edges_jaccard": f"""WITH {_FOUND}, pk AS (SELECT DISTINCT user_id, phrase, keyword FROM found), sz AS (SELECT user_id, phrase, count(*) AS k FROM pk GROUP BY ALL),
-sh AS (SELECT a.user_id, a.phrase AS phrase_a, b.phrase AS phrase_b, count(*) AS shared FROM pk a JOIN pk b ON a.user_id = b.user_id AND a.keyword = b.keyword AND a.phrase < b.phrase GROUP BY ALL)
-SELECT sh.*, round(shared / (x.k + y.k - shared)::DOUBLE, 6) AS overlap FROM sh JOIN sz x ON x.user_id = sh.user_id AND x.phrase = phrase_a JOIN sz y ON y.user_id = sh.user_id AND y.phrase = phrase_b""",
+    "indirect_edges_jaccard": f"WITH {_JACCARD} SELECT user_id, phrase_a, phrase_b, shared, round(overlap, 6) AS overlap FROM jac",
     "rrf_fuse": f"WITH {_RANKS} SELECT search_id, message_id, round(score, 9) AS score, place::INTEGER AS place FROM top",
     "mrr_at_3": f"""WITH {_RANKS}, rel AS (SELECT search_id, message_id FROM firsts GROUP BY ALL HAVING count(*) = 2), f AS (SELECT search_id, min(place) AS r FROM top SEMI JOIN rel USING (search_id, message_id) GROUP BY ALL)
 SELECT round(avg(CASE WHEN r <= 3 THEN 1.0 / r ELSE 0 END), 6) AS mrr, count(*) AS n_queries FROM (SELECT DISTINCT search_id FROM rel) LEFT JOIN f USING (search_id)""",

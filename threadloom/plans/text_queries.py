@@ -104,20 +104,32 @@ k AS (SELECT delivery_id, msg_pos, role, p, CASE WHEN e.type = 'text' THEN 'TEXT
         CASE WHEN e.type = 'text' THEN e.text ELSE coalesce(e.input.content, 'null') END AS text, CASE WHEN e.type = 'text' THEN NULL ELSE coalesce(e.input.language, 'null') END AS language
       FROM b WHERE (e.type = 'text' AND e.text IS NOT NULL) OR (e.type = 'tool_use' AND e.input IS NOT NULL))"""
 
+_STRIPPED = f"""l AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' code ', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+j AS (SELECT doc_id, string_agg(CASE WHEN score >= 2.0 THEN chr(64976) ELSE line || chr(10) END, '' ORDER BY pos) AS t FROM {_SCORED.replace("@ROWS", "l")} GROUP BY doc_id),
+stripped AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, chr(64976) || '+', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS text FROM documents LEFT JOIN j USING (doc_id))"""
+_MARKED = """p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\*+', '', 'g'), '(?m)^#+\\s*', '', 'g'), '(?m)^\\s*[-*+]\\s*', '', 'g'), '(?m)^\\s*\\d+\\.\\s*', '', 'g') AS t FROM @ROWS),
+ll AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x : regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')), lambda x : x <> '') AS l FROM p),
+jj AS (SELECT doc_id, CASE WHEN l IS NULL THEN NULL WHEN len(l) = 0 THEN '' ELSE list_reduce(l, lambda acc, x : CASE WHEN regexp_matches(acc, '[.!?:]$') THEN acc || ' ' || x ELSE acc || '. ' || x END) END AS t FROM ll),
+marked AS (SELECT doc_id, trim(regexp_replace(t, '[\\s\\x0b]+', ' ', 'g'), ' ') AS text FROM jj)"""
+
 ORACLE = {
+    "chunk_faithful": f"""WITH {_STRIPPED}, {_MARKED.replace("@ROWS", "stripped")}
+SELECT doc_id, 1 AS fragment_order, text, 0.0::DOUBLE AS confidence, sha256(concat_ws('::', doc_id, 1, {_CONTENT.format("text")})) AS hash FROM marked WHERE length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) >= 3""",
     "norm_words": f"SELECT fragment_id, pos, {_W.format('phrase')} AS norm FROM {_PHR}",
     "norm_phrase": f"SELECT fragment_id, pos, {_NORM} AS norm FROM {_PHR}",
     "norm_content": f"SELECT delivery_id, {_CONTENT.format('text')} AS norm FROM chat_message",
     "query_tokens": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS l FROM documents)
 SELECT doc_id, array_to_string(list_filter(l, lambda x, i : list_position(l, x) = i), ' ') AS tokens FROM t""",
     "code_line_score": f"SELECT doc_id, pos, score FROM {_SCORED.replace("@ROWS", _LINES)}",
-    "code_strip": f"""WITH l AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' code ', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-j AS (SELECT doc_id, string_agg(CASE WHEN score >= 2.0 THEN chr(64976) ELSE line || chr(10) END, '' ORDER BY pos) AS t FROM {_SCORED.replace("@ROWS", "l")} GROUP BY doc_id)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, chr(64976) || '+', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS text FROM documents LEFT JOIN j USING (doc_id)""",
-    "markdown_norm": """WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\*+', '', 'g'), '(?m)^#+\\s*', '', 'g'), '(?m)^\\s*[-*+]\\s*', '', 'g'), '(?m)^\\s*\\d+\\.\\s*', '', 'g') AS t FROM documents),
-l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x : regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')), lambda x : x <> '') AS l FROM p),
-j AS (SELECT doc_id, CASE WHEN l IS NULL THEN NULL WHEN len(l) = 0 THEN '' ELSE list_reduce(l, lambda acc, x : CASE WHEN regexp_matches(acc, '[.!?:]$') THEN acc || ' ' || x ELSE acc || '. ' || x END) END AS t FROM l)
-SELECT doc_id, trim(regexp_replace(t, '[\\s\\x0b]+', ' ', 'g'), ' ') AS text FROM j""",
+    "code_strip": f"WITH {_STRIPPED} SELECT doc_id, text FROM stripped",
+    "markdown_norm": f"WITH {_MARKED.replace('@ROWS', 'documents')} SELECT doc_id, text FROM marked",
+    "identifier_tokens": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^\\w.]+')) AS token FROM documents)
+SELECT doc_id, token FROM t WHERE length(token) >= 3 AND lower(token) NOT IN ('e.g', 'i.e', 'etc', 'vs', 'a.k.a') AND regexp_matches(token, '[A-Za-z]')
+AND regexp_matches(token, '^(?:[a-z]+(?:[A-Z][A-Za-z0-9]*)+|[A-Z][a-z0-9]*(?:[A-Z][A-Za-z0-9]*)+|\\w+(?:_\\w+)+|\\w+(?:\\.\\w+)+|[A-Za-z]+\\d+[A-Za-z0-9]*)$')""",
+    "phrase_trim": f"""WITH w AS (SELECT fragment_id, pos, regexp_split_to_array(trim(phrase, ' '), '\\s+') AS w FROM {_PHR}),
+i AS (SELECT *, list_filter(range(1, len(w) + 1), lambda k : lower(w[k]) NOT IN ({", ".join(f"'{x}'" for x in text.EDGE_WORDS)}) AND regexp_matches(w[k], '[\\p{{L}}\\p{{N}}]')) AS solid FROM w),
+k AS (SELECT *, CASE WHEN len(solid) > 0 THEN w[list_min(solid):list_max(solid)] END AS kept FROM i)
+SELECT fragment_id, pos, CASE WHEN len(kept) <= 6 AND length(array_to_string(kept, ' ')) >= 2 THEN array_to_string(kept, ' ') END AS phrase FROM k""",
     "semantic_noise": "SELECT delivery_id, coalesce(length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) < 3, true) AS noise FROM chat_message",
     "message_hash": f"SELECT delivery_id, sha256(coalesce(sender, '') || '::' || {_CONTENT.format('text')}) AS hash FROM chat_message",
     "fragment_hash": f"SELECT fragment_id, sha256(concat_ws('::', message_id, fragment_order, {_CONTENT.format('text')})) AS hash FROM semantic_fragments",

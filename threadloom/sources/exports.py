@@ -58,7 +58,7 @@ def read_user(spark: SparkSession, path: str) -> DataFrame:
 def resolve_account(records: DataFrame, accounts: DataFrame) -> DataFrame:
     """Records with email_id and llm_id of their account; unknown accounts get nulls. `accounts` has (uuid, email_id, llm_id)."""
     known = accounts.select(F.col("uuid").alias("__u"), "email_id", "llm_id").dropDuplicates(["__u"])
-    return records.join(known, F.col("account.uuid") == F.col("__u"), "left").drop("__u")
+    return records.drop("email_id", "llm_id").join(known, F.col("account.uuid") == F.col("__u"), "left").drop("__u")
 
 
 def first_account(records: DataFrame) -> DataFrame:
