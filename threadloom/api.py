@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threadloom.errors import keyword_error
 from threadloom.jobs import SearchJobs, Ticket
 from threadloom.operators import embed, fragments, graph, keywords, lexical, phrases, retrieve
-from threadloom.session import cut
+from threadloom.session import cut, held
 from threadloom.sources import exports
 
 log = logging.getLogger("threadloom")
@@ -122,14 +122,16 @@ class Engine:
     def fast_search(self, user_id: int, query: str, seed: str = "0") -> Ticket:
         """Lexical results at once; graph refinement runs behind the ticket."""
         lexical.check_query(query, user_id)
-        hits = cut(self.search_lexical(user_id, query))
-        first = self.extract_messages(hits)
+        hits = held(self.search_lexical(user_id, query), 100)
+        rows = [(r.fragment_id, r.score) for r in hits.collect()]
+        links = self.tables["semantic_fragments"].select("fragment_id", "message_id")
+        first = [{"message_id": m, "score": s} for m, s in retrieve.fuse_few(rows, links)]
         if not first:
             return self.jobs.start(user_id, [], None)
 
         def refine(cancelled) -> list[dict]:
             mapping, nodes = self._mapping(), self.tables["semantic_node"]
-            seeds = retrieve.select_seeds(hits.withColumn("q", F.lit(0)), "fragment_id", "score", ["q"], seed).select("fragment_id", "score")
+            seeds = held(retrieve.select_seeds(hits.withColumn("q", F.lit(0)), "fragment_id", "score", ["q"], seed).select("fragment_id", "score"), 100)
             near = self.adjacency().filter(F.col("user_id") == user_id)
             if cancelled.is_set():
                 return first

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scores import npmi
 from threadloom.functions.text import normalize_phrase
+from threadloom.session import held
 
 TOP_EDGES = 3
 HOPS = 3
@@ -128,15 +129,16 @@ def traverse(roots: DataFrame, near: DataFrame, hops: int = HOPS, most: int = MO
     """(node, score): the best product of root score and NPMIs over at most `hops` steps, roots included.
 
     `roots` has (node, score), `near` is the adjacency of the same user. Scores that are not positive and finite are dropped. Of
-    more than `most` nodes the first discovered remain: roots by (score desc, id), then hop by hop by (score desc, id). A hop
-    has at most 3 * `most` rows, so the frontier stays small enough to be broadcast.
+    more than `most` nodes the first discovered remain: roots by (score desc, id), then hop by hop by (score desc, id). With at
+    most 3 edges a node, hop h has at most `most` * 3**h rows, so each frontier passes through the driver as a small local table and is broadcast:
+    one short job a hop, and no hop repeats the work of those before it.
     """
     fine = lambda df: df.filter((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") < float("inf")))
-    frontier = fine(roots.groupBy("node").agg(F.max("score").alias("score"))).orderBy(F.col("score").desc(), "node").limit(most)
+    frontier = held(fine(roots.groupBy("node").agg(F.max("score").alias("score"))).orderBy(F.col("score").desc(), "node").limit(most), most)
     every = frontier.withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
         step = near.join(F.broadcast(frontier.select("node", F.col("score").alias("s"))), "node").select(F.col("neighbor").alias("node"), (F.col("s") * F.col("npmi")).alias("score"))
-        frontier = fine(step.groupBy("node").agg(F.max("score").alias("score")))
+        frontier = held(fine(step.groupBy("node").agg(F.max("score").alias("score"))), most * TOP_EDGES**h)
         every = every.unionByName(frontier.withColumn("hop", F.lit(h)))
     found = every.groupBy("node").agg(F.min(F.struct("hop", -F.col("score"))).alias("m"), F.max("score").alias("best"))
     capped = found.select("node", F.col("m.hop").alias("hop"), F.col("best").alias("score")).orderBy("hop", F.col("score").desc(), "node").limit(most)

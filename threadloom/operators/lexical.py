@@ -90,7 +90,8 @@ class Index:
 
     def persist(self) -> Index:
         """The same index kept by the executors, for serving many searches; a lost part is made again from its lineage."""
-        posts = self.posts.persist()
+        # by document, so that a search's sums per document need no shuffle
+        posts = self.posts.repartition(self.key).persist()
         return Index(self.key, posts, term_stats(posts).persist(), self.stats.persist(), self.user)
 
 

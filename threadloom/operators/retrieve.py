@@ -67,6 +67,18 @@ def reciprocal_rank_fusion(lists: list[DataFrame], group: list[str], key: str, k
     return ranked.filter(F.col("place") <= limit) if limit else ranked
 
 
+def fuse_few(hits: list[tuple[int, float]], links: DataFrame, k: int = RRF_K, limit: int = MOST_MESSAGES) -> list[tuple[int, float]]:
+    """(message, score) of one list of at most some hundred hits, fused on the driver: the same as `message_order` and `reciprocal_rank_fusion`."""
+    best: dict[int, float] = {}
+    for f, s in hits:
+        if f is not None and s is not None and 0 < s < float("inf"):
+            best[f] = max(s, best.get(f, 0.0))
+    rows = links.filter(F.col("fragment_id").isin(list(best)) & F.col("message_id").isNotNull()).select("fragment_id", "message_id").collect() if best else []
+    of = {r.fragment_id: r.message_id for r in rows}
+    order = dict.fromkeys(of[f] for f in sorted(of, key=lambda f: (-best[f], f)))
+    return [(m, 1.0 / (k + rank)) for rank, m in enumerate(order, 1)][:limit]
+
+
 def message_distances(fragments: DataFrame, query: list[float], embedding: str = "embedding", message: str = "message_id") -> DataFrame:
     """(message, distance): each message's least cosine distance to the query. Vectors that are null, zero, not finite or of another dimension take no part."""
     fine = fragments.filter(F.col(message).isNotNull() & usable(embedding, len(query)))

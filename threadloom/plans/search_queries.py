@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import vectors
 from threadloom.operators import graph, keywords, lexical, retrieve
-from threadloom.session import cut, table
+from threadloom.session import cut, held, table
 
 #: The query text, user and query vector (a fragment) of the searches in this catalogue.
 QUERY = "weekly schedle of the Kafka topic"
@@ -139,9 +139,9 @@ def rrf_fuse(s, d):
 
 def fast_search(s, d, user: int = USER, query: str = QUERY):
     """Lexical hits, seeds, traversal and fusion in one plan: (message_id, score, place)."""
-    hits = cut(lexical.search(_frag(s, d), "fragment_id", "text", query, ("user_id", user)))
+    hits = held(lexical.search(_frag(s, d), "fragment_id", "text", query, ("user_id", user)), 100)
     one = hits.withColumn("q", F.lit(0))
-    seeds = retrieve.select_seeds(one, "fragment_id", "score", ["q"]).select("fragment_id", "score")
+    seeds = held(retrieve.select_seeds(one, "fragment_id", "score", ["q"]).select("fragment_id", "score"), 100)
     mapping, nodes = _mapping(s, d), table(s, d, "semantic_node")
     near = cut(graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == user)))
     reached = graph.traverse(graph.seed_nodes(seeds, mapping, nodes, user), near)

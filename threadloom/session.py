@@ -44,6 +44,9 @@ def local_session(app: str = "threadloom", cores: str = "8", shuffle: int = 8) -
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("THREADLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        # call sites for error messages cost a round trip to the JVM for every expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
 
@@ -71,5 +74,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, most: int) -> DataFrame:
+    """`df`, which has at most `most` rows by construction, through the driver: a local table without lineage, for small steps of a search. More rows are an error."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} rows where fewer were promised")
+    return df.sparkSession.createDataFrame(rows.to_pandas(), df.schema) if rows.num_rows else df.sparkSession.createDataFrame([], df.schema)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
