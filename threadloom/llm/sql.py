@@ -69,14 +69,14 @@ scores AS (SELECT fragment_id, term, tf, df, p * ln(p / bg) AS score FROM smooth
 
 _NEAR = """
 u AS (SELECT fragment_id AS id, embedding::DOUBLE[] AS v FROM semantic_fragments WHERE embedding IS NOT NULL AND len(embedding) = 128
-      AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = 128 AND list_sum(list_transform(embedding, lambda x : abs(x))) > 0),
+      AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x::DOUBLE))) = 128 AND list_sum(list_transform(embedding, lambda x : abs(x))) > 0),
 near AS (SELECT q.id AS query_id, o.id AS other_id, list_cosine_similarity(q.v, o.v) AS cosine, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, o.v) DESC, o.id) AS place
          FROM u q JOIN u o ON q.id <> o.id WHERE q.id IN (SELECT fragment_id FROM asked) QUALIFY place <= 10)
 """
 
 _WALK = """WITH RECURSIVE hits AS (
-  SELECT search_id, fragment_id, CASE WHEN NOT isnan(score) THEN score::DOUBLE END AS s0, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2 FROM lexical_hit
-  UNION ALL SELECT search_id, fragment_id, NULL, CASE WHEN NOT isnan(score) THEN score END, CASE WHEN NOT isnan(npmi) THEN npmi END FROM graph_hit),
+  SELECT search_id, fragment_id, CASE WHEN NOT isnan(score::DOUBLE) THEN score::DOUBLE END AS s0, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2 FROM lexical_hit
+  UNION ALL SELECT search_id, fragment_id, NULL, CASE WHEN NOT isnan(score::DOUBLE) THEN score END, CASE WHEN NOT isnan(npmi) THEN npmi END FROM graph_hit),
 items AS (SELECT search_id, fragment_id, max(s0) AS s0, max(s1) AS s1, max(s2) AS s2 FROM hits WHERE search_id IS NOT NULL AND fragment_id IS NOT NULL GROUP BY ALL),
 sizes AS (SELECT search_id, count(*) AS n FROM items GROUP BY ALL),
 long AS (SELECT search_id, fragment_id, unnest([0, 1, 2]) AS s, unnest([s0, s1, s2]) AS v FROM items),
