@@ -74,9 +74,10 @@ near AS (SELECT q.id AS query_id, o.id AS other_id, list_cosine_similarity(q.v,
          FROM u q JOIN u o ON q.id <> o.id WHERE q.id IN (SELECT fragment_id FROM asked) QUALIFY place <= 10)
 """
 
+# NaN is tested as text: the engine takes isnan of a column from file statistics, which leave NaN out.
 _WALK = """WITH RECURSIVE hits AS (
-  SELECT search_id, fragment_id, CASE WHEN NOT isnan(score::DOUBLE) THEN score::DOUBLE END AS s0, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2 FROM lexical_hit
-  UNION ALL SELECT search_id, fragment_id, NULL, CASE WHEN NOT isnan(score::DOUBLE) THEN score END, CASE WHEN NOT isnan(npmi) THEN npmi END FROM graph_hit),
+  SELECT search_id, fragment_id, CASE WHEN score::VARCHAR <> 'nan' THEN score::DOUBLE END AS s0, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2 FROM lexical_hit
+  UNION ALL SELECT search_id, fragment_id, NULL, CASE WHEN score::VARCHAR <> 'nan' THEN score END, CASE WHEN npmi::VARCHAR <> 'nan' THEN npmi END FROM graph_hit),
 items AS (SELECT search_id, fragment_id, max(s0) AS s0, max(s1) AS s1, max(s2) AS s2 FROM hits WHERE search_id IS NOT NULL AND fragment_id IS NOT NULL GROUP BY ALL),
 sizes AS (SELECT search_id, count(*) AS n FROM items GROUP BY ALL),
 long AS (SELECT search_id, fragment_id, unnest([0, 1, 2]) AS s, unnest([s0, s1, s2]) AS v FROM items),
