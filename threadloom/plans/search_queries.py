@@ -346,11 +346,11 @@ SELECT round(avg(CASE WHEN r <= 3 THEN 1.0 / r ELSE 0 END), 6) AS mrr, count(*)
     "user_fragment_counts": "SELECT user_id, count(*) AS n FROM semantic_fragments GROUP BY user_id",
     "latest_fragments": f"SELECT fragment_id, created_at FROM semantic_fragments WHERE user_id = {USER} ORDER BY created_at DESC NULLS LAST, fragment_id LIMIT 10",
     "user_messages": f"SELECT DISTINCT message_id, conversation_id FROM semantic_fragments WHERE message_id IN (SELECT message_id FROM semantic_fragments WHERE user_id = {USER})",
-    "sample_wor": f"""WITH h AS (SELECT search_id, fragment_id, max(score) AS score FROM graph_hit WHERE score IS NOT NULL AND NOT isnan(score::DOUBLE) GROUP BY ALL),
+    "sample_wor": f"""WITH h AS (SELECT search_id, fragment_id, max(score) AS score FROM graph_hit WHERE score IS NOT NULL AND score::VARCHAR <> 'nan' GROUP BY ALL),
 w AS (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi FROM h WINDOW p AS (PARTITION BY search_id)),
 c AS (SELECT *, -ln({_U}) / exp((CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END - 1) / 0.4) AS c FROM w)
 SELECT search_id, fragment_id FROM c QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY c, fragment_id) <= 5""",
-    "seed_select": f"""WITH h AS (SELECT search_id, fragment_id, max(score)::DOUBLE AS score FROM lexical_hit WHERE score IS NOT NULL AND NOT isnan(score::DOUBLE) GROUP BY ALL),
+    "seed_select": f"""WITH h AS (SELECT search_id, fragment_id, max(score)::DOUBLE AS score FROM lexical_hit WHERE score IS NOT NULL AND score::VARCHAR <> 'nan' GROUP BY ALL),
 r AS (SELECT *, count(*) OVER (PARTITION BY search_id) AS n, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, fragment_id) AS rn FROM h),
 m AS (SELECT *, CASE WHEN n > 20 THEN n // 2 ELSE n END AS m FROM r), dd AS (SELECT *, 50 * m // 100 AS d FROM m),
 rest AS (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi FROM dd WHERE rn > d WINDOW p AS (PARTITION BY search_id)),
