@@ -48,3 +48,17 @@ def test_parts():
     assert p.pii_key("12b, Rue-É 4") == "12brueé4"
     best = p._resolved([{"start": 0, "stop": 5, "kind": "name", "belief": 0.9, "by_mate": 0.1}, {"start": 3, "stop": 9, "kind": "name", "belief": 0.9, "by_mate": 0.5}])
     assert [s["start"] for s in best] == [3]
+
+
+def test_unlisted_lower_case_names_in_learned_contexts(spark):
+    pairs = [(g, f) for g in ("anna", "boris") for f in ("meyer", "falk", "zorn", "adler", "brandt", "winter", "keller", "vogt")]
+    texts = ["this is selshumir ulvaro from support, hello", "this is nothing special from support, hello"]
+    texts += [f"this is {g} {f} from support, hello" for g, f in pairs] + [f"Dear {g.title()} {f.title()}, hi" for g, f in pairs] * 4
+    texts += ["there was nothing special there and nothing special here"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    spans = p.find(docs, names)
+    found = {(r.kind, r.pii_key) for r in p.found_rows(spans).collect()}
+    assert ("name", "selshumirulvaro") in found and ("name", "nothingspecial") not in found
+    text = {r.doc_id: r.text for r in p.redact(docs, spans).collect()}
+    assert text[0] == "this is [NAME] from support, hello" and text[1] == texts[1]

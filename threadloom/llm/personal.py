@@ -8,6 +8,9 @@ instances for further patterns; what is vouched for well enough is personal info
 
 Candidates come from one Arrow pass. The rounds run over distinct (instance, patterns) combinations with counts, which shrink
 with the repetition of a corpus; all aggregates combine before their shuffle.
+
+Pairs of lower-case words are too many to be candidates everywhere. The first pass takes those with a listed given name or a cue; a second
+one takes every pair in a context that the rounds have made a confident pattern of names, so that unlisted names are found there too.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +73,13 @@ ADDRESS_ES = re.compile(
     rf"(?:[nN]\.?{_GAP}?[ºo°]\.?{_GAP}?|núm\.?{_GAP}?)?\d{{1,4}}{_GAP}?(?:[a-z](?!\w))?(?![\w:.-]\d|\w)"
 )
 NAME = re.compile(rf"(?<![\w’'-])(?=(?P<a>[{_UP}][{_UP}{_LOW}’']+)(?:{_GAP}(?:(?P<i>[{_UP}]\.){_GAP})?(?P<b>{_WORD}(?:-{_WORD})*)|,{_GAP}(?P<c>{_WORD}))(?![\w’'-]))")
-#: Lower-case names only where the given name is listed or a cue stands before (fixed values: public vocabulary).
+#: Lower-case names of the first pass: where the given name is listed or a cue stands before (fixed values: public vocabulary).
 _CUE = re.compile(rf"\b(?:name is|name ist|appelle|me llamo|nombre es){_GAP}[a-zß-öø-ÿ]")
 _LOWER_WORD = re.compile("[a-zß-öø-ÿ]{3,}")
 LOWER = re.compile(rf"(?:(?P<cue>\b(?:name is|name ist|appelle|me llamo|nombre es){_GAP})|(?<![\w’'-]))(?P<a>[a-zß-öø-ÿ]{{3,}}){_GAP}(?P<b>[a-zß-öø-ÿ]{{3,}}(?:-[a-zß-öø-ÿ]{{3,}})*)(?![\w’'-])")
+#: Every pair of lower-case words, overlapping ones too: candidates of the second pass. Read by both Python and Java.
+PAIR = rf"(?<![\w’'-])(?=([a-zß-öø-ÿ]{{3,}}){_GAP}([a-zß-öø-ÿ]{{3,}}(?:-[a-zß-öø-ÿ]{{3,}})*)(?![\w’'-]))"
+_PAIR = re.compile(PAIR)
 FAMILY_FIRST = re.compile(rf"(?<![\w’'-])(?=(?P<b>{_WORD}(?:-{_WORD})*),{_GAP}(?P<a>{_WORD})(?:{_GAP}(?P<i>[{_UP}]\.))?(?![\w’'-]))")
 _CONTEXT = re.compile(r"\w+|[^\w\s]")
 _WORDS = re.compile(r"\w+")
@@ -130,6 +138,15 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), m.end(), f"de {tail or word[-5:]}", "address" if tail else ""
 
 
+def _cued(text: str, listed: frozenset[str]) -> Iterator[re.Match]:
+    """The pairs of lower-case words with a listed given name or behind a cue."""
+    at = 0 if not listed.isdisjoint(_LOWER_WORD.findall(text)) or _CUE.search(text) else len(text)
+    while m := LOWER.search(text, at):
+        at = m.end("a")
+        if m["cue"] or m["a"] in listed:
+            yield m
+
+
 def candidates_of(text: str, listed: frozenset[str]) -> Iterator[tuple[int, int, str, str, str, str, list[str]]]:
     """(start, stop, shape, instance, mate, seed, patterns) of every candidate of a text."""
     mails = [(m.start(), m.end()) for m in EMAIL.finditer(text)]
@@ -155,11 +172,8 @@ def candidates_of(text: str, listed: frozenset[str]) -> Iterator[tuple[int, int,
             given = m["a"].lower()
             straight.add(m.start())
             yield m.start(), m.end("b"), "name", given, m["b"].lower(), "name" if given in listed else "", _patterns(text, m.start(), m.end("b"))
-    at = 0 if not listed.isdisjoint(_LOWER_WORD.findall(text)) or _CUE.search(text) else len(text)
-    while m := LOWER.search(text, at):
-        at = m.end("a")
-        if m["cue"] or m["a"] in listed:
-            yield m.start("a"), m.end("b"), "lower", m["a"], m["b"], "", _patterns(text, m.start("a"), m.end("b"))
+    for m in _cued(text, listed):
+        yield m.start("a"), m.end("b"), "lower", m["a"], m["b"], "", _patterns(text, m.start("a"), m.end("b"))
     for m in FAMILY_FIRST.finditer(text):
         given = m["a"].lower()
         end = m.end("i") if m["i"] else m.end("a")
@@ -168,16 +182,33 @@ def candidates_of(text: str, listed: frozenset[str]) -> Iterator[tuple[int, int,
         yield m.start(), end, "name", given, m["b"].lower(), seed, _patterns(text, m.start(), end)
 
 
-def candidates(documents: DataFrame, listed: frozenset[str], record: str = "doc_id", text: str = "text") -> DataFrame:
-    """All candidates of all documents; null and empty texts have none."""
+def _slot(pattern: str) -> int:
+    return zlib.crc32(pattern.encode()) % SLOTS
+
+
+def learned_of(text: str, listed: frozenset[str], contexts: np.ndarray) -> Iterator[tuple[int, int, str, str, str, str, list[str]]]:
+    """As candidates_of, the pairs of lower-case words that stand in one of the contexts and were no candidates of the first pass."""
+    known = {m.start("a") for m in _cued(text, listed)}
+    for m in _PAIR.finditer(text):
+        a, b = m.start(), m.end(2)
+        if a not in known:
+            pats = _patterns(text, a, b)
+            if any(contexts[_slot(p)] for p in pats):
+                yield a, b, "learned", m[1], m[2], "", pats
+
+
+def candidates(documents: DataFrame, listed: frozenset[str], record: str = "doc_id", text: str = "text", contexts: np.ndarray | None = None) -> DataFrame:
+    """All candidates of all documents; null and empty texts have none. With `contexts`, those of the second pass (learned_of)."""
+    held = None if contexts is None else documents.sparkSession.sparkContext.broadcast(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "stop", "pii_key", "shape", "inst", "mate", "seed", "pats"]
         types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string())]
+        of = (lambda t: candidates_of(t, listed)) if held is None else (lambda t: learned_of(t, listed, held.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(d, a, b, pii_key(t[a:b]), *c) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t for a, b, *c in candidates_of(t, listed)]
+                rows = [(d, a, b, pii_key(t[a:b]), *c) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t for a, b, *c in of(t)]
                 columns = list(zip(*rows)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names)
 
@@ -190,6 +221,8 @@ VOUCHES = {"email": 0.3, "phone": 0.1, "id_number": 0.1, "address": 0.3, "name":
 SMOOTH = 0.5
 ROUNDS = 6
 RARE = 0.25
+#: Places of the table of learned contexts by hash: its size is bounded, and a collision only proposes a pair that the exact patterns then leave alone.
+SLOTS = 1 << 22
 #: The belief from which a candidate is personal information.
 ACCEPT = {"email": 0.5, "phone": 0.5, "id_number": 0.5, "address": 0.7, "name": 0.45}
 
@@ -232,6 +265,54 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return known
 
 
+def learned_contexts(known: DataFrame) -> np.ndarray:
+    """Where the hash of a pattern that surrounds names confidently falls, of SLOTS places."""
+    links = known.filter("kind = 'name'").select("n", "belief", F.explode("pats").alias("pat"))
+    sure = links.groupBy("pat").agg((F.sum(F.col("belief") * F.col("n")) / (F.sum("n") + SMOOTH)).alias("conf")).filter(F.col("conf") >= VOUCHES["name"])
+    at = sure.select((F.crc32(F.encode("pat", "utf-8")) % SLOTS).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    contexts = np.zeros(SLOTS, bool)
+    contexts[at] = True
+    return contexts
+
+
+def extend(known: DataFrame, learned: DataFrame, documents: DataFrame, rounds: int) -> DataFrame:
+    """(kind, e, belief, by_mate) of the candidates of the second pass, from the beliefs of the first.
+
+    A pattern's confidence counts what it surrounds in both passes. A word is supported by the best confident pattern of its
+    occurrences, among all the pairs it begins or ends anywhere in the texts, so that ordinary words have no support. A name is
+    believed as far as both its words are supported; its family name may be known from the first pass.
+    """
+    edges = learned.groupBy("shape", "inst", "mate", "seed", "pats").agg(F.count(F.lit(1)).alias("n"))
+    edges = edges.withColumn("e", F.xxhash64("shape", "inst", "mate", "seed", "pats"))
+    texts = documents.select("text").filter(F.col("text") != "")
+
+    def seen(group: int, word: str) -> DataFrame:
+        pairs = texts.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + PAIR), F.lit(group))).alias(word))
+        return pairs.join(edges.select(word).distinct(), word, "left_semi").groupBy(word).agg(F.count(F.lit(1)).alias(f"{word}_seen"))
+
+    names = known.filter("kind = 'name'")
+    family = names.groupBy("mate").agg(F.max("by_mate").alias("family"))
+    edges = cut(edges)
+    edges = edges.join(seen(1, "inst"), "inst", "left").join(seen(2, "mate"), "mate", "left").join(family, "mate", "left").fillna(0.0, ["family"])
+    edges = cut(edges.fillna(0, ["inst_seen", "mate_seen"]))
+    before = names.select("n", "belief", F.explode("pats").alias("pat")).join(edges.select(F.explode("pats").alias("pat")).distinct(), "pat", "left_semi")
+    before = cut(before.groupBy("pat").agg(F.sum(F.col("belief") * F.col("n")).alias("s"), F.sum("n").alias("t")))
+    scored = edges.withColumn("belief", F.lit(0.0))
+    for _ in range(rounds):
+        links = scored.select("e", "n", "belief", F.explode("pats").alias("pat"))
+        now = links.groupBy("pat").agg(F.sum(F.col("belief") * F.col("n")).alias("s"), F.sum("n").alias("t"))
+        sure = now.unionByName(before).groupBy("pat").agg((F.sum("s") / (F.sum("t") + SMOOTH)).alias("conf")).filter(F.col("conf") >= VOUCHES["name"])
+        best = links.join(sure, "pat").groupBy("e").agg(F.max("conf").alias("by_pattern"))
+        rated = cut(edges.join(best, "e", "left").fillna(0.0, ["by_pattern"]))
+
+        def support(word: str, rated: DataFrame = rated) -> DataFrame:
+            return rated.groupBy(word).agg((F.sum(F.col("by_pattern") * F.col("n")) / (F.greatest(F.max(f"{word}_seen"), F.sum("n")) + SMOOTH)).alias(f"by_{word}"))
+
+        both = rated.join(support("inst"), "inst").join(support("mate"), "mate").withColumn("by_mate", F.greatest("by_mate", "family"))
+        scored = both.withColumn("belief", F.least("by_inst", "by_mate"))
+    return scored.select(F.lit("name").alias("kind"), "e", "belief", "by_mate")
+
+
 def _resolved(spans: list[dict]) -> list[dict]:
     """Spans without overlap: emails first, then by belief, the mate's confidence and length; the earlier one at a tie."""
     order = sorted(spans, key=lambda s: (s["kind"] != "email", -s["belief"] - s["by_mate"], s["start"] - s["stop"], s["start"]))
@@ -262,10 +343,15 @@ def find(documents: DataFrame, given_name: DataFrame, rounds: int = ROUNDS) -> D
     Null, empty and blank texts have none. Repeated texts are found alike. Only the text and its contexts count; lang and source are not read.
     Evidence comes from all documents: a name nobody listed is found where patterns or a known family name vouch for it.
     """
-    found = cut(candidates(documents, listed_names(given_name)))
-    known = bootstrap(found, rounds)
+    listed = listed_names(given_name)
+    found = cut(candidates(documents, listed))
+    known = cut(bootstrap(found, rounds))
+    learned = cut(candidates(documents, listed, contexts=learned_contexts(known)))
+    found = found.unionByName(learned)
     least = F.create_map(*[x for k, v in ACCEPT.items() for x in (F.lit(k), F.lit(v))])
-    good = known.filter(F.col("belief") >= least[F.col("kind")])
+    beliefs = ["kind", "e", "belief", "by_mate"]
+    good = known.select(beliefs).unionByName(extend(known, learned, documents, rounds).select(beliefs))
+    good = good.filter(F.col("belief") >= least[F.col("kind")])
     best = good.groupBy("e").agg(F.max(F.struct("belief", "kind", "by_mate")).alias("b"))
     keyed = found.select("doc_id", "start", "stop", "pii_key", F.xxhash64("shape", "inst", "mate", "seed", "pats").alias("e"))
     spans = keyed.join(best, "e").select("doc_id", F.struct("start", "stop", "b.kind", "pii_key", "b.belief", "b.by_mate").alias("s"))
