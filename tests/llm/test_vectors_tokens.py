@@ -129,3 +129,33 @@ def test_mixture(spark):
 def test_source_names(spark):
     df = spark.createDataFrame([(" Chat-Export ",), ("CHAT_EXPORT",), ("chat export",), (None,), (" ",)], "s string")
     assert [r.k for r in df.select(mixing.source_key("s").alias("k")).collect()] == ["chat_export"] * 3 + [None, None]
+
+
+def test_copies_of_a_vector_take_one_place(spark):
+    x = vectors(n=300)
+    # 200 copies of row 0, whose ids are spread over the blocks; a query near them and one of them.
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(1000 + (i * 77) % 200, [float(v) for v in x[0]]) for i in range(200)]
+    df = spark.createDataFrame(rows, "fragment_id long, embedding array<float>").repartition(3)
+    for block in (40, 8192):
+        near = neighbours.nearest(df, "fragment_id", "embedding", df.filter("fragment_id in (0, 1150)").select("fragment_id"), k=5, dim=16, lists=2, probes=2, depth=8, block=block)
+        got = {}
+        for r in near.orderBy("query_id", "place").collect():
+            got.setdefault(r.query_id, []).append(r.other_id)
+        assert got == {0: [1000, 1001, 1002, 1003, 1004], 1150: [0, 1000, 1001, 1002, 1003]}
+
+
+def test_copies_do_not_displace_nearer_vectors():
+    # 40 copies that the codes overrate: the two vectors nearer to the query are still among the reranked.
+    import pyarrow as pa
+
+    class Index:
+        dim, bytes = 2, 1
+
+        def scan(self, lst, q, codes):
+            return np.repeat(codes[:, 0].astype(float)[None], len(q), 0)
+
+    copy, near = np.array([0.6, 0.8], np.float32), [np.array(v, np.float32) for v in ([1, 0], [0.8, 0.6])]
+    v, c = [*[copy] * 40, *near], [9] * 40 + [1, 1]
+    left = pa.table({"list": [0] * 42, "id": [*range(100, 140), 1, 2], "code": [bytes([b]) for b in c], "vector": [e.tobytes() for e in v]})
+    right = pa.table({"query_id": [7], "vector": [np.array([1, 0], np.float32).tobytes()]})
+    assert neighbours._scan_block(Index(), 3, 4)(left, right)["other_id"].to_pylist() == [1, 2, 100]

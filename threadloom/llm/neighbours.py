@@ -7,7 +7,8 @@ centroid. Codes are chosen for the score, not the distance: the part of the resi
 
 A query scans the codes of its `probes` nearest lists by table look-up (two subspaces a byte) and ranks the best of each list
 again by exact cosine; the best k of all lists remain. Lists and the queries that meet them are cut into blocks of bounded size,
-so a list that holds a third of all vectors is scanned by many tasks.
+so a list that holds a third of all vectors is scanned by many tasks. Equal vectors fall in one block, where they are scanned and
+reranked as one and then stand for their smallest ids, so copies take one place however many there are.
 """
 
 from __future__ import annotations
@@ -133,6 +134,21 @@ class AnisotropicIndex:
         return out
 
 
+def _copies(vectors: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first row of each distinct vector, its `most` smallest ids in order, and which places of these are filled."""
+    flat = np.ascontiguousarray(vectors + np.float32(0)).view(np.dtype((np.void, vectors.shape[1] * 4))).ravel()  # -0.0 is 0.0
+    group = np.unique(flat, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, group))
+    first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    kept = nth < most
+    members = np.zeros((len(first), nth[kept].max() + 1), np.int64)
+    there = np.zeros(members.shape, bool)
+    at = group[order][kept], nth[kept]
+    members[at], there[at] = ids[order][kept], True
+    return order[first], members, there
+
+
 def _scan_block(index: AnisotropicIndex, k: int, depth: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -141,21 +157,26 @@ def _scan_block(index: AnisotropicIndex, k: int, depth: int):
         vectors, codes = read(left, "vector", np.float32, index.dim), read(left, "code", np.uint8, index.bytes)
         ids, qids = left["id"].to_numpy(), right["query_id"].to_numpy()
         queries, lst = read(right, "vector", np.float32, index.dim), left["list"][0].as_py()
+        # The query's own vector may take a place of its own: one more is kept of everything.
+        rows, members, filled = _copies(vectors, ids, k + 1)
+        vectors, codes = vectors[rows], codes[rows]
         out = [[], [], []]
         for at in range(0, len(qids), 128):
             q, own = queries[at : at + 128], qids[at : at + 128]
             scores = index.scan(lst, q, codes)
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            keep = min(depth, len(ids))
+            keep = min(depth + 1, len(rows))
             near = np.argpartition(-scores, keep - 1, 1)[:, :keep]
             exact = np.einsum("qcd,qd->qc", vectors[near].astype(np.float64), q.astype(np.float64))
-            exact[own[:, None] == ids[near]] = -np.inf
-            order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
+            order = np.lexsort((members[near, 0], -exact), axis=1)[:, : k + 1]
             pick = np.take_along_axis(near, order, 1)
-            value = np.take_along_axis(exact, order, 1)
+            other = members[pick].reshape(len(q), -1)
+            value = np.repeat(np.take_along_axis(exact, order, 1), members.shape[1], 1)
+            value[~filled[pick].reshape(len(q), -1) | (own[:, None] == other)] = -np.inf
+            order = np.lexsort((other, -value), axis=1)[:, :k]
+            other, value = np.take_along_axis(other, order, 1), np.take_along_axis(value, order, 1)
             there = np.isfinite(value)
             out[0].append(np.repeat(own[:, None], order.shape[1], 1)[there])
-            out[1].append(ids[pick][there])
+            out[1].append(other[there])
             out[2].append(value[there])
         return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "other_id", "cosine"), out)})
 
@@ -194,11 +215,11 @@ def nearest(
     q_blocks = np.maximum(1, np.ceil(met * n_asked / block)).astype(np.int64)
     held = spark.sparkContext.broadcast((index, blocks, q_blocks))
 
-    def spread(ids: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each row once for every block of the other side: (row, own block, other block)."""
-        row = np.repeat(np.arange(len(ids)), other)
+    def spread(keys: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row once for every block of the other side: (row, own block by key, other block)."""
+        row = np.repeat(np.arange(len(keys)), other)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(other) - other, other)
-        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         return row, (mixed % own.astype(np.uint64)).astype(np.int32)[row], nth.astype(np.int32)
 
     def packed(m: np.ndarray) -> pa.Array:
@@ -210,8 +231,13 @@ def nearest(
         for b in batches:
             if b.num_rows:
                 v, ids = _matrix(b.column(1), dim), b.column(0).to_numpy()
+                # More copies than can be neighbours leave at once, so a hot vector does not fill its block.
+                rows, members, filled = _copies(v, ids, k + 1)
+                v, ids = np.repeat(v[rows], filled.sum(1), 0), members[filled]
+                bits = np.ascontiguousarray(v + np.float32(0)).view(np.uint32).astype(np.uint64)
+                keys = (bits * (2 * np.arange(dim, dtype=np.uint64) + 0x9E3779B1)).sum(1)
                 at, codes = index.encode(v)
-                row, own, other = spread(ids, blocks[at], q_blocks[at])
+                row, own, other = spread(keys, blocks[at], q_blocks[at])
                 yield pa.RecordBatch.from_arrays([pa.array(at[row]), pa.array(own), pa.array(other), pa.array(ids[row]), packed(codes[row]), packed(v[row])], ["list", "b", "qb", "id", "code", "vector"])
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
