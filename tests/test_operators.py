@@ -181,3 +181,32 @@ def test_extra_columns_do_not_clash(spark):
     from threadloom.operators.embed import embed_text
 
     assert embed_text(spark.createDataFrame([("a", 1), (None, 2)], "t string, embedding int"), "t").columns == ["t", "embedding"]
+
+
+def test_nested_values_and_roots(spark):
+    from threadloom.operators import nested
+    from threadloom.plans import problems
+
+    block = "struct<type:string,text:string,thinking:string,message:string,name:string,citations:array<string>,content:array<string>,display_content:string,input:struct<id:string,type:string,title:string,command:string,content:string,language:string,version_uuid:string>>"
+    message = f"struct<uuid:string,parent_message_uuid:string,index:int,text:string,sender:string,created_at:timestamp,updated_at:timestamp,content:array<{block}>,attachments:array<struct<id:string,file_name:string,file_size:bigint,file_type:string,extracted_content:string>>,files:array<struct<file_uuid:string,file_name:string,file_type:string,file_size:bigint,created_at:timestamp>>>"
+    schema = f"delivery_id long, batch_no int, uuid string, name string, summary string, created_at timestamp, updated_at timestamp, account struct<uuid:string,email:string>, chat_messages array<{message}>"
+    b = ("text", "t", None, None, None, ['{"b": 1,  "a": 2}', None, "no json"], ["[1,  2]"], None, None)
+
+    def said(text):
+        return ("m", None, 0, text, "human", None, None, [None, b], None, None)
+
+    def record(delivery, messages):
+        return (delivery, delivery, "u", "n", None, None, None, ("a", "e"), messages)
+
+    rows = [record(1, [said("x"), None]), record(2, [said("x"), None]), record(3, [said("y"), None]), record(4, [said("x")]), record(5, None), record(6, [])]
+    df = spark.createDataFrame(rows, schema)
+    one = df.filter("delivery_id = 1")
+    assert [tuple(r) for r in nested.typed(one, "citation").orderBy("item_pos").collect()] == [(1, 0, 1, 0, '{"b": 1,  "a": 2}'), (1, 0, 1, 2, "no json")]
+    assert [tuple(r) for r in nested.typed(one, "nested").collect()] == [(1, 0, 1, 0, "[1,  2]")]
+    bridge = nested.rooted(df).collect()
+    top = {r.delivery_id: r.node_hash for r in bridge if r.kind == "conversation"}
+    assert top[1] == top[2] and top[5] == top[6] and len(set(top.values())) == 4
+    assert all(r.parent_hash == top[r.delivery_id] for r in bridge if r.kind == "message")
+    stored = {r.node_hash: r.n_occurrences for r in nested.objects(nested.rooted(df)).filter("kind = 'conversation'").collect()}
+    assert stored[top[1]] == 2 and len(stored) == 4
+    assert {"p5_citations", "p5_nested"} <= set(problems.QUERIES)

@@ -3,7 +3,8 @@
 Every object gets a Merkle identity: the SHA-256 of its canonical scalar fields and of the identities of its children,
 computed bottom-up. `occurrences` holds one row for each occurrence with its parent's identity and its ordinal (the bridge);
 `objects` holds each distinct object once. Identities are built inside the record with higher-order functions, so one
-explode and no shuffle produce the whole bridge; only `objects` shuffles, on the identity itself, with map-side combine.
+explode and no shuffle produce the bridge below the records; `rooted` adds the records themselves by a join on delivery_id, and
+`objects` shuffles on the identity itself, with map-side combine.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Scalar fields of each kind in canonical order (fixed values: the export format).
 SCALARS = {
+    "conversation": ["uuid", "name", "summary", "created_at", "updated_at", "account_uuid", "account_email"],
     "message": ["uuid", "parent_message_uuid", "index", "text", "sender", "created_at", "updated_at"],
     "content": ["type", "text", "thinking", "message", "name", "display_content"],
     "input": ["id", "type", "title", "command", "content", "language", "version_uuid"],
@@ -103,6 +105,39 @@ def _message_rows(m: Column, node: Column) -> Column:
     )
 
 
+def _messages_hashed(exports: DataFrame) -> DataFrame:
+    """(delivery_id, t, node) of each non-null message."""
+    messages = exports.select("delivery_id", F.posexplode("chat_messages").alias("i", "m")).filter(F.col("m").isNotNull())
+    staged = messages.select("delivery_id", _message(F.col("m"), F.col("i")).alias("t"))
+    return staged.withColumn("node", _message_hash(F.col("t")))
+
+
+def roots(exports: DataFrame) -> DataFrame:
+    """The conversations as objects, one row per delivered record in the columns of the bridge; positions are -1 and there is no parent.
+
+    The identity is that of the record's own fields, without delivery_id and batch_no, and of its messages in order (a null message counts
+    as in the arrays below), so a record delivered again unchanged is the same object. The hashes of a record's messages shuffle, not its content.
+    """
+    hashes = _messages_hashed(exports).groupBy("delivery_id").agg(F.sort_array(F.collect_list(F.struct(F.col("t.pos").alias("pos"), F.col("node").alias("hash")))).alias("found"))
+    flat = exports.withColumns({"account_uuid": F.col("account.uuid"), "account_email": F.col("account.email")})
+    body = _scalars(F.struct(*SCALARS["conversation"]), "conversation")
+    rows = flat.select("delivery_id", body.alias("body"), F.coalesce(F.size("chat_messages"), F.lit(0)).alias("n")).join(hashes, "delivery_id", "left")
+    at = F.map_from_entries(F.coalesce("found", F.array().cast("array<struct<pos:int,hash:string>>")))
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    children = F.transform(places, lambda i: F.try_element_at(F.col("at"), i))
+    none, null = F.lit(-1), F.lit(None).cast("string")
+    keyed = rows.withColumn("at", at).withColumn("node", _digest("conversation", F.col("body"), children))
+    return keyed.select("delivery_id", _row("conversation", none, none, none, F.col("node"), null, F.col("body")).alias("r")).select("delivery_id", "r.*")
+
+
+def rooted(exports: DataFrame) -> DataFrame:
+    """The bridge with its roots: `occurrences` with the conversation as each message's parent, and `roots`."""
+    top = roots(exports)
+    below = occurrences(exports).join(top.select("delivery_id", F.col("node_hash").alias("root")), "delivery_id")
+    below = below.withColumn("parent_hash", F.when(F.col("kind") == "message", F.col("root")).otherwise(F.col("parent_hash"))).drop("root")
+    return below.unionByName(top)
+
+
 def occurrences(exports: DataFrame) -> DataFrame:
     """The bridge: (delivery_id, kind, msg_pos, block_pos, item_pos, node_hash, parent_hash, body), one row per non-null element.
 
@@ -112,9 +147,7 @@ def occurrences(exports: DataFrame) -> DataFrame:
 
     One explode yields messages (the only unbounded array of a record), a second the rows below each message.
     """
-    messages = exports.select("delivery_id", F.posexplode("chat_messages").alias("i", "m")).filter(F.col("m").isNotNull())
-    staged = messages.select("delivery_id", _message(F.col("m"), F.col("i")).alias("t"))
-    hashed = staged.withColumn("node", _message_hash(F.col("t")))
+    hashed = _messages_hashed(exports)
     rows = hashed.select("delivery_id", F.explode(_message_rows(F.col("t"), F.col("node"))).alias("r"))
     out = rows.select("delivery_id", "r.*")
     return out.withColumn("parent_hash", F.when(F.col("kind") != "message", F.col("parent_hash")))
@@ -135,7 +168,10 @@ def conversations(exports: DataFrame) -> DataFrame:
 
 
 def typed(exports: DataFrame, kind: str) -> DataFrame:
-    """The flat table of one kind with its own columns, its position and its parent's position: message, content, input, attachment or file."""
+    """The flat table of one kind with its own columns, its position and its parent's position: message, content, input, attachment, file, citation or nested.
+
+    Citations and nested items are JSON texts, given as delivered.
+    """
     m = exports.select("delivery_id", F.posexplode("chat_messages").alias("msg_pos", "m")).filter(F.col("m").isNotNull())
     if kind == "message":
         return m.select("delivery_id", "msg_pos", *[F.col(f"m.`{c}`").alias(c) for c in SCALARS[kind]])
@@ -147,4 +183,7 @@ def typed(exports: DataFrame, kind: str) -> DataFrame:
         return b.select("delivery_id", "msg_pos", "block_pos", *[F.col(f"b.`{c}`").alias(c) for c in SCALARS[kind]])
     if kind == "input":
         return b.filter(F.col("b.input").isNotNull()).select("delivery_id", "msg_pos", "block_pos", *[F.col(f"b.input.`{c}`").alias(c) for c in SCALARS[kind]])
+    if kind in ("citation", "nested"):
+        e = b.select("delivery_id", "msg_pos", "block_pos", F.posexplode("b.citations" if kind == "citation" else "b.content").alias("item_pos", "value"))
+        return e.filter(F.col("value").isNotNull())
     raise ValueError(f"no such kind: {kind}")

@@ -14,11 +14,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(nested.occurrences(table(spark, d, "conversation_export")))
+    return nested.objects(nested.rooted(table(spark, d, "conversation_export")))
 
 
 def p5_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.occurrences(table(spark, d, "conversation_export")).drop("body")
+    return nested.rooted(table(spark, d, "conversation_export")).drop("body")
 
 
 def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,8 @@ QUERIES = {
     "p5_inputs": _typed("input"),
     "p5_attachments": _typed("attachment"),
     "p5_files": _typed("file"),
+    "p5_citations": _typed("citation"),
+    "p5_nested": _typed("nested"),
     "p6_found": p6_found,
     "p6_last_batch": p6_last_batch,
 }
