@@ -210,3 +210,18 @@ def test_nested_values_and_roots(spark):
     stored = {r.node_hash: r.n_occurrences for r in nested.objects(nested.rooted(df)).filter("kind = 'conversation'").collect()}
     assert stored[top[1]] == 2 and len(stored) == 4
     assert {"p5_citations", "p5_nested"} <= set(problems.QUERIES)
+
+
+def test_messages_without_stored_hash_are_numbered(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from threadloom.functions.identity import message_hash
+    from threadloom.plans import text_queries
+
+    rows = [(1, "c", "human", "a", None), (2, "c", "assistant", "b", "h"), (3, "c", "human", " a ", None), (4, "c", "human", "d", None), (5, "d", "user", "e", None)]
+    df = spark.createDataFrame(rows, "delivery_id long, conversation_uuid string, sender string, text string, hash string")
+    # delivery 3 repeats 1, whose hash is stored in one and computed in the other
+    df.withColumn("hash", F.when(F.col("delivery_id") == 3, message_hash("sender", "text")).otherwise(F.col("hash"))).write.parquet(f"{tmp_path}/chat_message.parquet")
+    assert sorted(r.delivery_id for r in text_queries.QUERIES["dedupe_by_conversation_whole"](spark, str(tmp_path)).collect()) == [1, 2, 4, 5]
+    got = sorted(tuple(r) for r in text_queries.QUERIES["sequence_numbers_whole"](spark, str(tmp_path)).collect())
+    assert got == [(1, "c", 0), (2, "c", 1), (4, "c", 2), (5, "d", 0)]

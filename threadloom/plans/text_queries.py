@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import hashing, text
+from threadloom.functions.identity import message_hash
 from threadloom.operators import fragments as frag
 from threadloom.operators import phrases
 from threadloom.session import table
@@ -40,6 +41,22 @@ def sequence_numbers(s, d):
     return exports.sequence(kept, "conversation_uuid", "delivery_id").select("delivery_id", "conversation_uuid", "sequence_number")
 
 
+def _hashed(s, d):
+    """Every message with its stored hash, computed where that is null."""
+    return table(s, d, "chat_message").select("delivery_id", "conversation_uuid", F.coalesce("hash", message_hash("sender", "text")).alias("hash"))
+
+
+def dedupe_by_conversation_whole(s, d):
+    """dedupe_by_conversation over all messages, also those without a stored hash."""
+    return exports.dedupe_by_hash(_hashed(s, d), ["delivery_id"], scope=["conversation_uuid"]).select("delivery_id")
+
+
+def sequence_numbers_whole(s, d):
+    """sequence_numbers over all messages of a conversation, also those without a stored hash."""
+    kept = exports.dedupe_by_hash(_hashed(s, d).filter("conversation_uuid is not null"), ["delivery_id"])
+    return exports.sequence(kept, "conversation_uuid", "delivery_id").select("delivery_id", "conversation_uuid", "sequence_number")
+
+
 def noun_phrases(s, d):
     return phrases.noun_phrases(table(s, d, "semantic_fragments"), "fragment_id", "text").select("fragment_id", F.explode("phrases").alias("phrase"))
 
@@ -77,6 +94,8 @@ QUERIES = {
     "dedupe_messages": dedupe_messages,
     "dedupe_by_conversation": dedupe_by_conversation,
     "sequence_numbers": sequence_numbers,
+    "dedupe_by_conversation_whole": dedupe_by_conversation_whole,
+    "sequence_numbers_whole": sequence_numbers_whole,
     "paragraph_split": lambda s, d: frag.paragraphs(table(s, d, "documents"), ["doc_id"], "text"),
     "pair_parse": lambda s, d: table(s, d, "search_edge_stats").select("edge_id", text.parse_pair(text.pair_key("source_node_id", "target_node_id")).alias("p")).select("edge_id", "p.a", "p.b"),
     "noun_phrases": noun_phrases,
