@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -52,25 +53,53 @@ def local_session(app: str = "threadloom", cores: str = "8", shuffle: int = 8) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can read: spark.checkpoint.dir, or, in a local session only, a folder of our own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Tables written by `cut` in this process and not yet removed.
+_cuts: list[str] = []
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def clear(spark: SparkSession | None = None) -> None:
+    """Remove every table that `cut` wrote in this process; frames that read them are of no use afterwards. Runs by itself when the process ends."""
+    spark = spark or SparkSession.getActiveSession()
+    while spark is not None and _cuts:
+        try:
+            remove(spark, _cuts.pop())
+        except Exception:  # noqa: BLE001  the session is gone, and with it the way to the files
+            return
+
+
+atexit.register(clear)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it again.
 
     The result has no lineage beyond the files, so a lost executor costs nothing but a re-read, and the stages behind
-    it run once however often the result is used.
+    it run once however often the result is used. `clear` removes the tables.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,8 +108,4 @@ def held(df: DataFrame, most: int) -> DataFrame:
     rows = df.limit(most + 1).toArrow()
     if rows.num_rows > most:
         raise ValueError(f"more than {most} rows where fewer were promised")
-    return df.sparkSession.createDataFrame(rows.to_pandas(), df.schema) if rows.num_rows else df.sparkSession.createDataFrame([], df.schema)
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows else df.sparkSession.createDataFrame([], df.schema)
