@@ -4,7 +4,7 @@ import os
 import pytest
 
 from threadloom.errors import EngineError
-from threadloom.operators import dedupe, nested
+from threadloom.operators import dedupe, nested, skew
 from threadloom.sources import exports
 from threadloom.streaming import ingest
 
@@ -83,11 +83,33 @@ def test_superseded(spark):
     assert dedupe.superseded(ids.limit(0)).count() == 0
 
 
-def test_keep_latest_and_new_arrivals(spark):
-    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), (None, 1, "z"), ("b", None, "w")], "k string, at int, v string")
-    assert sorted(((r.k or ""), r.v) for r in dedupe.keep_latest(df, ["k"], ["at", "v"]).collect()) == [("", "z"), ("a", "y"), ("b", "w")]
-    ids = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "delivery_id long, message_key string")
-    assert [r.delivery_id for r in dedupe.new_arrivals(ids, ids.filter("message_key = 'b'")).collect()] == [2]
+def test_new_and_merged_arrivals(spark):
+    ids = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (9, "c"), (5, "c")], "delivery_id long, message_key string")
+    batch, stored = ids.filter("delivery_id in (2, 3, 5)"), ids.filter("delivery_id in (1, 9)")
+    assert sorted((r.message_key, r.delivery_id) for r in dedupe.new_arrivals(batch, stored).collect()) == [("b", 3)]
+    assert sorted((r.message_key, r.delivery_id, r.replaces) for r in dedupe.merge_arrivals(batch, stored).collect()) == [("a", 2, 1), ("b", 3, None)]
+    assert dedupe.merge_arrivals(batch.limit(0), stored).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_keyed_join(spark, how):
+    left = spark.createDataFrame([("a", i) for i in range(60)] + [("b", 1), ("c", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), ("b", 20), ("d", 30)], "k string, w int")
+    want = sorted(map(str, left.join(right, ["k"], how).collect()))
+    assert sorted(map(str, skew.keyed_join(left, right, ["k"], how, rows=50).collect())) == want
+    assert sorted(map(str, skew.keyed_join(left, right, ["k"], how).collect())) == want
+    assert [r.k for r in skew.hot_keys(left.groupBy("k").count(), ["k"], "count", rows=50).collect()] == ["a"]
+
+
+def test_hot_rows_stay_where_they_are(spark):
+    """A key with a third of the rows is not gathered in one task."""
+    from pyspark.sql import functions as F
+
+    left = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    right = left.distinct().withColumn("w", F.lit(1))
+    joined = skew.keyed_join(left, right, ["k"])
+    most = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert most[1] == 13_334 and most[0] < 2_500
 
 
 def test_dedupe_by_hash(spark):

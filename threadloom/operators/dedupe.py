@@ -8,45 +8,53 @@ unique arrival number, a join that cannot be skewed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.identity import message_hash, uuid_key
+from threadloom.operators.skew import keyed_join
+from threadloom.session import cut
 
 
-def chat_identity(chat: DataFrame) -> DataFrame:
-    """(delivery_id, message_key) of each row of a chat_message table.
+def chat_identity(chat: DataFrame, keep: Sequence[str | Column] = ()) -> DataFrame:
+    """(delivery_id, message_key, keep...) of each row of a chat_message table, as a table in the shared folder.
 
     The key is the normalised uuid. A row without uuid takes the key of the one message of its conversation that has a row of
     equal hash; without such a message it shares a key with the other uuid-less rows of equal hash of the conversation, and
     where several messages have the hash it stays alone. A null hash is computed; null sender or text count as ''.
     Empty input gives an empty result; other columns of `chat` are ignored.
+
+    The texts are read once, for a compact table of conversation, key and hash. Only hashes that a row without uuid has are looked up,
+    and such rows, of which any number may share conversation and hash, meet their owner through `keyed_join`.
     """
-    rows = chat.select(
-        "delivery_id",
-        F.coalesce("conversation_uuid", F.lit("")).alias("conv"),
-        uuid_key("uuid").alias("key"),
-        F.coalesce(F.col("hash"), message_hash("sender", "text")).alias("digest"),
-    )
-    bare = rows.filter(F.col("key").isNull())
-    named = rows.filter(F.col("key").isNotNull())
-    owners = named.groupBy("conv", "digest").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    adopted = bare.join(owners, ["conv", "digest"], "left").select(
+    kept = chat.select(*keep).columns
+    rows = cut(chat.select(
         "delivery_id",
-        F.when(F.col("first_key").isNull(), F.concat_ws(":", F.lit("hash"), "conv", "digest"))
+        F.coalesce("conversation_uuid", F.lit("")).alias("__conv"),
+        uuid_key("uuid").alias("__key"),
+        F.coalesce(F.col("hash"), message_hash("sender", "text")).alias("__digest"),
+        *keep,
+    ))
+    bare = rows.filter(F.col("__key").isNull())
+    named = rows.filter(F.col("__key").isNotNull())
+    wanted = bare.select("__conv", "__digest").distinct()
+    owners = named.select("__conv", "__digest", "__key").join(wanted, ["__conv", "__digest"], "left_semi")
+    owners = owners.groupBy("__conv", "__digest").agg(F.min("__key").alias("first_key"), F.max("__key").alias("last_key"))
+    key = (
+        F.when(F.col("first_key").isNull(), F.concat_ws(":", F.lit("hash"), "__conv", "__digest"))
         .when(F.col("first_key") == F.col("last_key"), F.col("first_key"))
         .otherwise(F.concat(F.lit("alone:"), F.col("delivery_id").cast("string")))
-        .alias("message_key"),
     )
-    return named.select("delivery_id", F.col("key").alias("message_key")).unionAll(adopted)
+    adopted = keyed_join(bare, owners, ["__conv", "__digest"], "left").select("delivery_id", key.alias("message_key"), *kept)
+    return named.select("delivery_id", F.col("__key").alias("message_key"), *kept).unionAll(adopted)
 
 
-def export_identity(exports: DataFrame) -> DataFrame:
-    """(delivery_id, message_key) of each export record: its normalised uuid; a record without uuid stays alone."""
-    return exports.select(
-        "delivery_id",
-        F.coalesce(uuid_key("uuid"), F.concat(F.lit("alone:"), F.col("delivery_id").cast("string"))).alias("message_key"),
-    )
+def export_identity(exports: DataFrame, keep: Sequence[str | Column] = ()) -> DataFrame:
+    """(delivery_id, message_key, keep...) of each export record: its normalised uuid; a record without uuid stays alone."""
+    key = F.coalesce(uuid_key("uuid"), F.concat(F.lit("alone:"), F.col("delivery_id").cast("string")))
+    return exports.select("delivery_id", key.alias("message_key"), *keep)
 
 
 def kept_arrivals(identity: DataFrame, arrival: str = "delivery_id", key: str = "message_key") -> DataFrame:
@@ -60,19 +68,16 @@ def superseded(identity: DataFrame, arrival: str = "delivery_id", key: str = "me
     return identity.select(arrival).join(kept, arrival, "left_anti")
 
 
-def keep_latest(df: DataFrame, key: list[str | Column], arrival: list[str | Column]) -> DataFrame:
-    """All columns of the latest row per key, for tables without a unique arrival number.
+def merge_arrivals(batch: DataFrame, stored: DataFrame, arrival: str = "delivery_id", key: str = "message_key") -> DataFrame:
+    """(key, arrival, replaces) of what a batch changes in the store: the latest copy of each identifier, with the stored arrival it takes the place of.
 
-    Ties are broken by the later columns of `arrival`; rows equal in all of them are one row. Nulls sort first. The ranking key is
-    reduced before the shuffle, so only rows equal to the maximum meet their group.
+    `replaces` is null for identifiers the store does not hold; those are `new_arrivals`. A copy that arrived before the stored one changes
+    nothing and has no row. Both sides are one row per identifier before they meet, so no identifier is a hot key.
     """
-    order = F.struct(*arrival)
-    keyed = df.withColumn("__k", F.to_json(F.struct(*key))).withColumn("__o", F.xxhash64(order))
-    best = keyed.groupBy("__k").agg(F.max(F.struct(order.alias("o"), F.col("__o").alias("h"))).getField("h").alias("__o"))
-    return keyed.join(best, ["__k", "__o"], "left_semi").dropDuplicates(["__k"]).drop("__k", "__o")
+    old = kept_arrivals(stored, arrival, key).withColumnRenamed(arrival, "replaces")
+    return kept_arrivals(batch, arrival, key).join(old, key, "left").filter(F.col("replaces").isNull() | (F.col(arrival) > F.col("replaces")))
 
 
-def new_arrivals(batch: DataFrame, stored: DataFrame, key: str = "message_key") -> DataFrame:
-    """Rows of `batch` whose identifier is not stored yet, the latest copy of each: what an incremental load appends."""
-    fresh = batch.join(stored.select(key).distinct(), key, "left_anti")
-    return kept_arrivals(fresh, key=key)
+def new_arrivals(batch: DataFrame, stored: DataFrame, arrival: str = "delivery_id", key: str = "message_key") -> DataFrame:
+    """(key, arrival): the latest copy of each identifier of `batch` that is not stored yet, what an append-only load writes."""
+    return kept_arrivals(batch, arrival, key).join(stored.select(key).distinct(), key, "left_anti")

@@ -29,18 +29,25 @@ def _typed(kind: str):
     return lambda spark, d: nested.typed(table(spark, d, "conversation_export"), kind)
 
 
+def _identities(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    exports = table(spark, d, "conversation_export")
+    chat = dedupe.chat_identity(table(spark, d, "chat_message"), keep)
+    return {"chat_message": cut(chat), "conversation_export": dedupe.export_identity(exports, keep)}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    chat = dedupe.superseded(dedupe.chat_identity(table(spark, d, "chat_message")))
-    exports = dedupe.superseded(dedupe.export_identity(table(spark, d, "conversation_export")))
-    return chat.select(F.lit("chat_message").alias("source_table"), "delivery_id").unionAll(exports.select(F.lit("conversation_export").alias("source_table"), "delivery_id"))
+    parts = [dedupe.superseded(ids).select(F.lit(name).alias("source_table"), "delivery_id") for name, ids in _identities(spark, d).items()]
+    return parts[0].unionAll(parts[1])
 
 
 def p6_last_batch(spark: SparkSession, d: str) -> DataFrame:
-    """What the last arrival batch adds to the store of all batches before it."""
-    exports = table(spark, d, "conversation_export")
-    ids = cut(dedupe.export_identity(exports).join(exports.select("delivery_id", "batch_no"), "delivery_id"))
-    last = ids.agg(F.max("batch_no").alias("b")).first().b
-    return dedupe.new_arrivals(ids.filter(F.col("batch_no") == last), ids.filter(F.col("batch_no") < last)).select("delivery_id", "message_key")
+    """What the last arrival batch of each table changes in the store of all batches before it: new messages, and the stored arrivals that newer ones replace."""
+    parts = []
+    for name, ids in _identities(spark, d, ("batch_no",)).items():
+        last = table(spark, d, name).agg(F.max("batch_no").alias("b")).first().b
+        changed = dedupe.merge_arrivals(ids.filter(F.col("batch_no") == last), ids.filter(F.col("batch_no") < last))
+        parts.append(changed.select(F.lit(name).alias("source_table"), "delivery_id", "replaces"))
+    return parts[0].unionAll(parts[1])
 
 
 QUERIES = {
@@ -108,6 +115,10 @@ UNION ALL SELECT delivery_id, msg_pos, pos, 'input', 0 FROM b WHERE e IS NOT NUL
         "p6_found": f"""WITH {SAME_MESSAGE}, {_EXPORT_KEYS.replace('ids AS', 'xids AS')}
 SELECT 'chat_message' AS source_table, delivery_id FROM ids ANTI JOIN kept USING (delivery_id)
 UNION ALL SELECT 'conversation_export', delivery_id FROM xids WHERE delivery_id NOT IN (SELECT max(delivery_id) FROM xids GROUP BY mk)""",
-        "p6_last_batch": f"""WITH {_EXPORT_KEYS}, lb AS (SELECT max(batch_no) AS b FROM ids)
-SELECT max(delivery_id) AS delivery_id, mk AS message_key FROM ids, lb WHERE batch_no = b AND mk NOT IN (SELECT mk FROM ids, lb WHERE batch_no < b) GROUP BY mk""",
+        "p6_last_batch": f"""WITH {SAME_MESSAGE}, {_EXPORT_KEYS.replace('ids AS', 'xids AS')},
+every AS (SELECT 'chat_message' AS source_table, i.delivery_id, i.mk, c.batch_no FROM ids i JOIN chat_message c USING (delivery_id) UNION ALL SELECT 'conversation_export', delivery_id, mk, batch_no FROM xids),
+lb AS (SELECT source_table, max(batch_no) AS b FROM every GROUP BY ALL),
+fresh AS (SELECT source_table, mk, max(delivery_id) AS delivery_id FROM every JOIN lb USING (source_table) WHERE batch_no = b GROUP BY ALL),
+old AS (SELECT source_table, mk, max(delivery_id) AS replaces FROM every JOIN lb USING (source_table) WHERE batch_no < b GROUP BY ALL)
+SELECT source_table, delivery_id, replaces FROM fresh LEFT JOIN old USING (source_table, mk) WHERE replaces IS NULL OR delivery_id > replaces""",
     }
