@@ -114,6 +114,19 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN), F.lit(0))
 
 
+def counted(words: Column | str) -> Column:
+    """array<struct<term, tf bigint>> of an array of words: each distinct one with how often it occurs.
+
+    The words are sorted and the runs of equal ones measured, inside the row, so counting the terms of a record shuffles nothing.
+    """
+    ordered = F.sort_array(_c(words))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    run = lambda s, b: F.transform(b, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("bigint").alias("tf")))
+    # each step takes the one before as a lambda's variable, so that it is made once a row and not once an element
+    with_begins = F.transform(F.transform(F.array(ordered), lambda s: F.struct(s.alias("s"), begins(s).alias("b"))), lambda v: run(v.getField("s"), v.getField("b")))
+    return F.get(with_begins, F.lit(0))
+
+
 def query_tokens(c: Column | str) -> Column:
     """Distinct tokens in order of their first occurrence."""
     return F.array_distinct(tokens(c))

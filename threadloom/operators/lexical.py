@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scores import search_bm25
-from threadloom.functions.text import query_tokens, tokens
+from threadloom.functions.text import counted, query_tokens, tokens
 
 FUZZY_EXPANSIONS = 50
 EXACT_BOOST = 3.0
 
 
 def postings(docs: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """(key, keep..., term, tf, dl): one row per document and term; documents without tokens have none."""
+    """(key, keep..., term, tf, dl): one row per document and term; documents without tokens have none. Terms are counted inside the row, without a shuffle."""
     keep = keep or []
     words = docs.select(key, *keep, tokens(text).alias("__t")).filter(F.size("__t") > 0)
-    exploded = words.select(key, *keep, F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    return exploded.groupBy(key, *keep, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return words.select(key, *keep, F.size("__t").alias("dl"), F.explode(counted("__t")).alias("__c")).select(key, *keep, F.col("__c.term").alias("term"), "dl", F.col("__c.tf").alias("tf"))
 
 
 def document_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
