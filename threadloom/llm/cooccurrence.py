@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.skew import hot_keys, keyed_join
+from threadloom.session import cut
+
 CHUNK = 64
 
 
@@ -44,14 +47,16 @@ def cooccurrence(baskets: DataFrame, min_common: int = 4, min_npmi: float = 0.51
     """(user_id, node_lo, node_hi, n_common, n_lo, n_hi, n_total, npmi) of the associated pairs.
 
     `baskets` has (basket, item, user_id, n_total), each basket and item once, without nulls. A pair in all n_total baskets has
-    no NPMI and is left out. Ties and order of rows have no effect; an empty table gives no rows.
+    no NPMI and is left out, as is an item in more than n_total baskets with all its pairs: its NPMI cannot be positive. Ties and order
+    of rows have no effect; an empty table gives no rows. `baskets` is read twice, so it should be a stored table.
+
+    An item or a basket may hold a third of the rows: both joins are `keyed_join`s.
     """
-    counts = baskets.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.max("user_id").alias("u"), F.max("n_total").alias("n"))
-    counts = counts.filter((F.col("c") >= min_common) & (F.col("c") <= F.col("n")))
-    rows = baskets.select("basket", "item").join(counts, "item")
-    entry = F.struct(F.col("item").alias("id"), F.col("u"), F.col("c"), F.col("n")).alias("e")
-    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    sized = rows.join(sizes.filter("size > 1"), "basket").select("basket", "size", entry)
+    counts = cut(baskets.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.max("user_id").alias("u"), F.max("n_total").alias("n")).filter(F.col("c") >= min_common))
+    rows = keyed_join(baskets.select("basket", "item"), counts, ["item"], hot=hot_keys(counts, ["item"], "c"))
+    rows = cut(rows.select("basket", F.struct(F.col("item").alias("id"), F.col("u"), F.col("c"), F.col("n")).alias("e")))
+    sizes = cut(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    sized = cut(keyed_join(rows, sizes, ["basket"], hot=hot_keys(sizes, ["basket"], "size")))
     small = sized.filter(F.col("size") <= chunk).groupBy("basket").agg(F.array_sort(F.collect_list("e")).alias("left")).select("left", F.col("left").alias("right"))
     # Large baskets: chunk k meets chunk j in the product row (min, max); each holds about `chunk` items whatever the basket's size.
     chunks = F.ceil(F.col("size") / chunk).cast("int")
@@ -81,5 +86,5 @@ def node_baskets(mapping: DataFrame, fragments: DataFrame, nodes: DataFrame) ->
     links = mapping.select("fragment_id", "node_id").filter("fragment_id is not null and node_id is not null").distinct()
     totals = fragments.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_total"))
     known = nodes.filter("node_id is not null").select("node_id", "user_id").join(totals, "user_id")
-    existing = links.join(fragments.select("fragment_id"), "fragment_id", "left_semi").join(known, "node_id")
-    return existing.select(F.col("fragment_id").alias("basket"), F.col("node_id").alias("item"), "user_id", "n_total")
+    existing = keyed_join(cut(keyed_join(cut(links), fragments.select("fragment_id").distinct(), ["fragment_id"], "left_semi")), known, ["node_id"])
+    return cut(existing.select(F.col("fragment_id").alias("basket"), F.col("node_id").alias("item"), "user_id", "n_total"))

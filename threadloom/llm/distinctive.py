@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import counted
 from threadloom.session import cut
 
 #: What a term is (fixed value: the definition of the data).
@@ -22,10 +23,9 @@ MU = 2000.0
 
 
 def term_counts(records: DataFrame, record: str, text: str) -> DataFrame:
-    """(record, term, tf, dl) of every term of every record; null and empty texts have none."""
+    """(record, term, tf, dl) of every term of every record; null and empty texts have none. No shuffle: see `text.counted`."""
     lists = records.select(F.col(record).alias("record"), F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)).alias("terms")).filter(F.size("terms") > 0)
-    words = lists.select("record", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return words.groupBy("record", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return lists.select("record", F.size("terms").alias("dl"), F.explode(counted("terms")).alias("c")).select("record", "c.term", "dl", "c.tf")
 
 
 def distinctiveness(records: DataFrame, record: str, text: str, mu: float = MU, min_df: int = 2, only: DataFrame | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def distinctiveness(records: DataFrame, record: str, text: str, mu: float = MU,
 
     `mu` is the weight of the collection, 2000 as published for Dirichlet smoothing; a small one favours a word that is frequent in its record
     though common everywhere. `only` (a table with the column `record`)
-    restricts whose terms are given, not the statistics. Repeated texts are records of their own. A record whose terms are all rarer than
+    restricts whose terms are given, not the statistics. Each row is a record of its own, also one of a repeated text. A record whose terms are all rarer than
     `min_df` has no rows. An empty table gives no rows.
     """
     counts = cut(term_counts(records, record, text))
