@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from threadloom.llm import conversations as c
+from threadloom.operators import skew
 
 SCHEMA = "delivery_id long, conversation_uuid string, uuid string, parent_message_uuid string, msg_index int, sender string, text string, created_at timestamp, hash string, turn_no string"
 T0 = dt.datetime(2025, 1, 1)
@@ -62,9 +63,23 @@ def test_a_copy_without_uuid_counts_with_its_message(spark):
     assert kept(chat(spark, rows)) == {"c": ["a1", "a2"]}
 
 
+def test_a_star_is_the_same_without_gathering(spark, monkeypatch):
+    """Most messages reply to one; with low bounds every join takes its way for hot keys."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rows = [("star", "root", None, None, "human", "q", 0)] + [("star", f"r{i}", "root", None, "model", "a", i + 1) for i in range(60)]
+    assert kept(chat(spark, rows), local_rows=10) == {"star": ["root", "r59"]}
+
+
 def test_sessions(spark):
     rows = [("x", str(i), None, None, s, "t", m) for i, (s, m) in enumerate([("human", 0), ("assistant", 5), ("human", 10), ("assistant", 90_000), ("human", 90_004), ("human", 200_000)])]
-    df = chat(spark, rows)
-    got = [(r.session_no, r.n_rows, r.n_human) for r in c.sessionize(df, "conversation_uuid", "created_at", "delivery_id").orderBy("session_no").collect()]
-    assert got == [(0, 3, 2), (1, 2, 1)]
-    assert c.sessionize(df.limit(0), "conversation_uuid", "created_at", "delivery_id").count() == 0
+    rows += [("x", "5", None, None, "human", "again", 200_000), (None, "y", None, None, "human", "t", 3), ("x", "z", None, None, "human", "t", None)]
+    df = c.distinct_messages(chat(spark, rows))
+    run = lambda df: [(r.session_no, r.turn_no, r.delivery_id, r.role) for r in c.sessionize(df, "conversation_uuid", "made", "delivery_id", "role", ["delivery_id"]).orderBy("session_no", "turn_no").collect()]
+    assert run(df) == [(0, 0, 1, 0), (0, 1, 2, 1), (0, 2, 3, 0), (1, 0, 4, 1), (1, 1, 5, 0)]
+    assert run(df.limit(0)) == []
+
+
+def test_calibrated_gap(spark):
+    pauses = spark.createDataFrame([(10**6 * (1 + i % 5),) for i in range(200)] + [(10**10 * (1 + i % 3),) for i in range(20)] + [(None,)], "pause long")
+    assert 5e6 < c.calibrated_gap(pauses).first().gap < 1e10
+    assert c.calibrated_gap(pauses.limit(0)).first().gap is None

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.sessionize(table(spark, d, "chat_message"), "account_uuid", "created_at", "delivery_id")
+    return conversations.account_sessions(table(spark, d, "chat_message")).withColumnRenamed("channel", "account_uuid")
 
 
 def _associated(spark: SparkSession, d: str) -> DataFrame:

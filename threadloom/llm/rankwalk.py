@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.skew import hot_keys, keyed_join
 from threadloom.session import cut
 
 #: At 0.5 a step counts twice as much as the next; with weights near 1 leaders of a single list feed each other.
@@ -100,11 +101,15 @@ def _huge(items: DataFrame, damping: float, steps: int) -> DataFrame:
     value = long.filter("v is not null").groupBy("search_id", "s", (-F.col("v")).alias("down")).agg(F.count(F.lit(1)).alias("cnt"))
     ranged = cut(value.repartitionByRange(max(2, spark.sparkContext.defaultParallelism), "search_id", "s", "down").withColumn("__part", F.spark_partition_id()))
     ranked = cut(_prefix(ranged, ["search_id", "s"], "down", "cnt", "above"))
-    there = ranked.groupBy("search_id", "s").agg(F.sum("cnt").alias("there"))
-    of = long.withColumn("down", -F.col("v")).join(ranked.select("search_id", "s", "down", "above", "cnt"), ["search_id", "s", "down"], "left").join(there, ["search_id", "s"], "left")
+    there = cut(ranked.groupBy("search_id", "s").agg(F.sum("cnt").alias("there")))
+    # a search, and one value that most items share, are hot keys
+    value_key, hot_sizes = ["search_id", "s", "down"], hot_keys(sizes, ["search_id"], "size")
+    hot_values = hot_keys(ranked, value_key, "cnt")
+    of = keyed_join(long.withColumn("down", -F.col("v")), ranked.select(*value_key, "above", "cnt"), value_key, "left", hot=hot_values)
+    of = keyed_join(of, there, ["search_id", "s"], "left", hot=hot_keys(there, ["search_id", "s"], "there"))
     reach = F.when(F.col("down").isNull(), F.coalesce("there", F.lit(0))).when(F.col("above") == 0, 0).otherwise(F.col("above") + F.col("cnt"))
     place = cut(of.select("search_id", "fragment_id", "s", "down", reach.alias("reach")))
-    x = items.join(sizes, "search_id").select("search_id", "fragment_id", (1.0 / F.col("size")).alias("x"))
+    x = keyed_join(items, sizes, ["search_id"], hot=hot_sizes).select("search_id", "fragment_id", (1.0 / F.col("size")).alias("x"))
     for _ in range(steps):
         at = cut(place.join(x, ["search_id", "fragment_id"]).withColumn("flow", F.when(F.col("reach") > 0, F.col("x") / F.col("reach")).otherwise(0.0)))
         flows = at.filter("down is not null").groupBy("search_id", "s", "down").agg(F.sum("flow").alias("flow"))
@@ -114,8 +119,8 @@ def _huge(items: DataFrame, damping: float, steps: int) -> DataFrame:
         run = _prefix(ranked.select("search_id", "s", "down", "__part").join(flows, ["search_id", "s", "down"]), ["search_id", "s"], "down", "flow", "better")
         mass = run.join(total, ["search_id", "s"]).join(absent, ["search_id", "s"], "left")
         mass = mass.select("search_id", "s", "down", (F.col("total") - F.col("better") + F.coalesce("absent", F.lit(0.0))).alias("mass"))
-        got = at.join(mass, ["search_id", "s", "down"], "left").groupBy("search_id", "fragment_id").agg(F.sum(F.coalesce("mass", F.lit(0.0))).alias("got"))
-        new = got.join(sizes, "search_id").join(lost, "search_id", "left")
+        got = keyed_join(at, mass, value_key, "left", hot=hot_values).groupBy("search_id", "fragment_id").agg(F.sum(F.coalesce("mass", F.lit(0.0))).alias("got"))
+        new = keyed_join(keyed_join(got, sizes, ["search_id"], hot=hot_sizes), lost, ["search_id"], "left", hot=hot_sizes)
         moved = (F.col("got") + F.coalesce("lost", F.lit(0.0)) / F.col("size")) / 3
         x = cut(new.select("search_id", "fragment_id", ((1 - damping) / F.col("size") + damping * moved).alias("x")))
     return x.select("search_id", "fragment_id", F.col("x").alias("weight"))
@@ -133,13 +138,15 @@ def combine(lexical: DataFrame, graph: DataFrame, damping: float = DAMPING, step
     )
     hits = hits.filter("search_id is not null and fragment_id is not null")
     items = hits.groupBy("search_id", "fragment_id").agg(*[F.max(c).alias(c) for c in ("s0", "s1", "s2")])
-    huge = hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_items).select("search_id")
+    huge = hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_items)
     entry = F.struct("fragment_id", "s0", "s1", "s2")
     local = lambda df: df.groupBy("search_id").agg(F.collect_list(entry).alias("items")).mapInArrow(_walked(damping, steps), WEIGHTS)
     if huge.isEmpty():
         return local(items)
     huge, items = cut(huge), cut(items)
-    return local(items.join(huge, "search_id", "left_anti")).unionByName(_huge(items.join(huge, "search_id", "left_semi"), damping, steps))
+    hot = hot_keys(huge, ["search_id"], rows=local_items)
+    split = lambda how: keyed_join(items, huge.select("search_id"), ["search_id"], how, hot=hot)
+    return local(split("left_anti")).unionByName(_huge(split("left_semi"), damping, steps))
 
 
 def head(weights: DataFrame, k: int = 3) -> DataFrame:

@@ -46,6 +46,25 @@ FROM placed SEMI JOIN good USING (conversation_uuid)
 """
 )
 
+_SESSIONS = (
+    "WITH "
+    + _SAME
+    + """,
+r AS (SELECT c.account_uuid, epoch_us(c.created_at) AS t, c.delivery_id,
+        CASE WHEN lower(regexp_replace(c.sender, '^\\s+|\\s+$', '', 'g')) IN ('human', 'user') THEN 0 WHEN lower(regexp_replace(c.sender, '^\\s+|\\s+$', '', 'g')) IN ('assistant', 'model') THEN 1 ELSE -1 END AS role
+      FROM kept JOIN chat_message c USING (delivery_id) WHERE c.account_uuid IS NOT NULL AND c.created_at IS NOT NULL),
+p AS (SELECT *, t - lag(t) OVER (PARTITION BY account_uuid ORDER BY t, delivery_id) AS pause FROM r),
+classes AS (SELECT floor(log2(greatest(pause, 1)::DOUBLE) * 8 + 1e-9) AS c, count(*)::DOUBLE AS w FROM p WHERE pause IS NOT NULL GROUP BY 1),
+sides AS (SELECT c, sum(w) OVER (ORDER BY c) AS w0, sum(w * c) OVER (ORDER BY c) AS s0, sum(w) OVER () AS w1, sum(w * c) OVER () AS s1 FROM classes),
+best AS (SELECT c FROM sides WHERE w1 > w0 ORDER BY round(w0 * (w1 - w0) * pow(s0 / w0 - (s1 - s0) / (w1 - w0), 2) / pow(w1, 2), 9) DESC, c LIMIT 1),
+gap AS (SELECT pow(2.0::DOUBLE, (max(c) + 1) / 8) AS gap FROM best),
+s AS (SELECT p.*, sum(CASE WHEN pause IS NULL OR pause > coalesce(gap, 'inf'::DOUBLE) THEN 1 ELSE 0 END) OVER (PARTITION BY account_uuid ORDER BY t, delivery_id) - 1 AS session_no FROM p, gap),
+n AS (SELECT *, row_number() OVER w - 1 AS turn_no, max((role = 0)::INT) OVER e AS asks, max((role = 1)::INT) OVER e AS answers FROM s
+      WINDOW w AS (PARTITION BY account_uuid, session_no ORDER BY t, delivery_id), e AS (PARTITION BY account_uuid, session_no))
+SELECT account_uuid, session_no::BIGINT AS session_no, turn_no::BIGINT AS turn_no, delivery_id, role::TINYINT AS role FROM n WHERE asks = 1 AND answers = 1
+"""
+)
+
 _TERMS = """
 words AS (SELECT fragment_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM semantic_fragments),
 tfs AS (SELECT fragment_id, term, count(*) AS tf FROM words GROUP BY fragment_id, term),
@@ -101,6 +120,7 @@ ORACLE = {
     "p7_found": "WITH asked AS (SELECT fragment_id FROM fragment_probe WHERE purpose = 'neighbour')," + _NEAR + "SELECT DISTINCT least(query_id, other_id) AS fragment_lo, greatest(query_id, other_id) AS fragment_hi FROM near",
     "p7_neighbours": "WITH asked AS (SELECT fragment_id FROM semantic_fragments WHERE fragment_id % 100 = 0)," + _NEAR + "SELECT query_id, place::INTEGER AS place, other_id, round(cosine, 5) AS cosine FROM near",
     "p1_found": _TURNS,
+    "p1_sessions": _SESSIONS,
     "p2_found": "WITH " + _BASKETS + "SELECT node_lo, node_hi FROM scored WHERE npmi >= 0.51",
     "p2_associations": "WITH " + _BASKETS + "SELECT user_id, node_lo, node_hi, n_common, n_lo, n_hi, n_total, round(npmi, 6) AS npmi FROM scored WHERE npmi >= 0.51",
     "p3_found": _scores("2000.0")
