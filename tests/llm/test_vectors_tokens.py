@@ -146,8 +146,6 @@ def test_copies_of_a_vector_take_one_place(spark):
 
 def test_copies_do_not_displace_nearer_vectors():
     # 40 copies that the codes overrate: the two vectors nearer to the query are still among the reranked.
-    import pyarrow as pa
-
     class Index:
         dim, bytes = 2, 1
 
@@ -155,7 +153,43 @@ def test_copies_do_not_displace_nearer_vectors():
             return np.repeat(codes[:, 0].astype(float)[None], len(q), 0)
 
     copy, near = np.array([0.6, 0.8], np.float32), [np.array(v, np.float32) for v in ([1, 0], [0.8, 0.6])]
-    v, c = [*[copy] * 40, *near], [9] * 40 + [1, 1]
-    left = pa.table({"list": [0] * 42, "id": [*range(100, 140), 1, 2], "code": [bytes([b]) for b in c], "vector": [e.tobytes() for e in v]})
-    right = pa.table({"query_id": [7], "vector": [np.array([1, 0], np.float32).tobytes()]})
-    assert neighbours._scan_block(Index(), 3, 4)(left, right)["other_id"].to_pylist() == [1, 2, 100]
+    vectors, codes = np.array([*[copy] * 40, *near]), np.array([9] * 40 + [1, 1], np.uint8)[:, None]
+    cell = neighbours._Cell(Index(), 0, np.array([*range(100, 140), 1, 2]), codes, vectors, 3, 4)
+    assert cell.best(np.array([7]), np.array([[1, 0]], np.float32))[1].tolist() == [1, 2, 100]
+
+
+def test_exact_and_indexed_for_every_vector(spark):
+    """With every row as a query: the exact way equals brute force, and the index at a few probes of two-level lists loses little."""
+    x = vectors(n=1500, dim=8, seed=5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "fragment_id long, embedding array<float>")
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, -9)
+    want = np.sort(cosine, 1)[:, ::-1][:, :4]
+    got = np.zeros((1500, 4))
+    for r in neighbours.nearest(df, "fragment_id", "embedding", k=4, dim=8, lists=20, block=100, exact=True).collect():
+        got[r.query_id, r.place - 1] = r.cosine
+    assert np.allclose(got, want, atol=1e-6)
+    near = neighbours.nearest(df, "fragment_id", "embedding", k=4, dim=8, lists=40, probes=10).collect()
+    assert len(near) == 6000
+    assert np.mean([r.cosine >= want[r.query_id, 3] - 1e-6 for r in near]) >= 0.9
+
+
+def test_many_lists_are_found_in_two_levels():
+    x = vectors(n=3000, dim=8, seed=6)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = neighbours._means(u, 700, 3, np.random.default_rng(0))
+    assert 600 <= len(c) <= 800 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-4)
+
+
+def test_tempered_mixture(spark):
+    rows = [(i, s, 10) for s, n in (("a", 400), ("b", 60), ("c", 20)) for i in range(n)]
+    sizes = spark.createDataFrame([(i, s, t) for i, (_, s, t) in enumerate(rows)], "doc_id long, source string, n_tokens long")
+    targets, tokens = {"a": (0.5, 2), "b": (0.3, 2), "c": (0.2, 2), "none": (0.1, 2)}, {"a": 4000, "b": 600, "c": 200}
+    plan, a = mixing.tempered(tokens, targets)
+    assert 0 < a < 1 and abs(mixing.entropy([w for w, _ in plan.values()]) - mixing.entropy([0.5, 0.3, 0.2])) < 1e-6
+    report = {r.source: r for r in mixing.temperature_report(mixing.tempered_mix(sizes, targets, tokens), tokens, targets).collect()}
+    # 4800 tokens are wanted, of which c can give 400 at most: the limits bisect the exponent
+    assert 0 < report["a"].limit_exponent < 1 and report["c"].tokens_taken >= 390
+    assert abs(sum(r.tokens_taken for r in report.values()) - 4800) <= 30
+    assert all(abs(r.actual_share - r.weight) < 0.01 and r.max_copies <= 2 for r in report.values())
