@@ -1,10 +1,11 @@
 """Mixing sources to target weights (problem 9).
 
-The targets are explicit shares, so the weights are known; the temperature decides only what the repetition limits leave open. Weights
-are target^a * capacity^(1-a), where capacity is what a source can give at most (tokens times repetitions). a = 1 is the target itself,
-a = 0 exhausts every source. Without a budget a stays 1 and the total is the largest that no limit forbids; a larger budget
-bisects a. `temperature_shares` is the same for mixtures without explicit targets: source shares raised to an exponent that is
-bisected to a target entropy.
+Weights come from source sizes raised to an exponent that is bisected. Where explicit shares are wanted they are the weights, and the
+exponent decides only what the repetition limits leave open: weights are target^a * capacity^(1-a), where capacity is what a source can
+give at most (tokens times repetitions); a = 1 is the target itself, a = 0 exhausts every source. a is the greatest exponent at which
+the limits allow the wanted total. Without a total the mixture is the largest that has the targets, and a is 1. `tempered` makes the
+weights themselves so: natural shares raised to the exponent at which the mixture has a wanted entropy; with a wanted total on top the
+repetition limits bisect a second time.
 
 A source's tokens are then realised as a budgeted permutation of blocks: documents fall into pseudo-random blocks of about sqrt(n)
 documents, whole passes come first, and the last pass takes blocks in order until the budget ends inside one. Only sums of blocks
@@ -93,15 +94,16 @@ def source_tokens(sizes: DataFrame, targets: dict) -> dict[str, int]:
     return {r.source: r.n for r in known}
 
 
-def mix(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, seed: int = 0) -> DataFrame:
+def mix(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, seed: int = 0, tokens: dict[str, int] | None = None) -> DataFrame:
     """(source, doc_id, copy_no, n_tokens, mix_position) of the mixture; copy_no counts from 1 up to the source's max_repeat.
 
     Each source gives its share of the total to within half of its last document. mix_position in [0, 1) orders the mixture so
     that every stretch of it has the sources in proportion. Documents of other or null sources and without tokens take no part; a source
     without documents gives nothing. The result depends on the seed and the document ids only, not on the order of rows.
+    `tokens` (source_tokens) spares a count.
     """
     spark = sizes.sparkSession
-    tokens = source_tokens(sizes, targets)
+    tokens = source_tokens(sizes, targets) if tokens is None else tokens
     wanted, _ = budgets(tokens, targets, total)
     rows = [(s, float(b), int(tokens[s]), int(targets[s][1])) for s, b in wanted.items()]
     plan = spark.createDataFrame(rows, "source string, budget double, tokens bigint, max_repeat int")
@@ -131,11 +133,30 @@ def report(mixture: DataFrame, targets: dict[str, tuple[float, int]], tokens: di
     return out.crossJoin(F.broadcast(total)).select("source", "target_share", share.alias("actual_share"), "tokens_taken", "tokens_there", "documents", "max_copies")
 
 
-def temperature_report(tokens: dict[str, int], targets: dict[str, tuple[float, int]], spark) -> DataFrame:
-    """(source, tokens_there, natural_share, exponent, weight): natural shares raised to the exponent that gives the targets' entropy."""
+def tempered(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> tuple[dict[str, tuple[float, int]], float]:
+    """(targets with tempered shares, exponent): the natural shares of the sources that have tokens, raised to the exponent that gives the targets' entropy."""
     live = sorted(s for s in targets if tokens.get(s, 0) > 0)
     sizes = [float(tokens[s]) for s in live]
     goal = [targets[s][0] for s in live]
     a = exponent_for_entropy(sizes, entropy([g / sum(goal) for g in goal])) if sum(goal) > 0 else 1.0
-    rows = [(s, int(x), x / sum(sizes), a, w) for s, x, w in zip(live, sizes, temperature_shares(sizes, a))]
-    return spark.createDataFrame(rows, "source string, tokens_there bigint, natural_share double, exponent double, weight double")
+    return {s: (w, targets[s][1]) for s, w in zip(live, temperature_shares(sizes, a))}, a
+
+
+def tempered_mix(sizes: DataFrame, targets: dict[str, tuple[float, int]], tokens: dict[str, int], seed: int = 0) -> DataFrame:
+    """The rows of `mix` with tempered weights and as many tokens as the sources have together, so far as the repetition limits allow it."""
+    plan, _ = tempered(tokens, targets)
+    return mix(sizes, plan, float(sum(tokens[s] for s in plan)), seed, tokens)
+
+
+def temperature_report(mixture: DataFrame, tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> DataFrame:
+    """(source, natural_share, exponent, weight, limit_exponent and the columns of `report`) of the sources with tokens: what was wanted and what the mixture holds.
+
+    exponent is that of the entropy, limit_exponent the one the repetition limits ask for (1 where they ask for nothing).
+    """
+    spark = mixture.sparkSession
+    plan, a = tempered(tokens, targets)
+    total = float(sum(tokens[s] for s in plan))
+    wanted, limit = budgets(tokens, plan, total)
+    rows = [(s, tokens[s] / total, a, wanted.get(s, 0.0) / (sum(wanted.values()) or 1.0), limit) for s in plan]
+    goal = spark.createDataFrame(rows, "source string, natural_share double, exponent double, weight double, limit_exponent double")
+    return goal.join(report(mixture, plan, tokens).withColumnRenamed("target_share", "tempered_share"), "source")

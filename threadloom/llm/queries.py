@@ -77,19 +77,30 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+def _sources(spark: SparkSession, d: str):
+    """(token counts of the documents, targets, tokens of each source)."""
     sizes, targets = mixing.sized(table(spark, d, "documents")), mixing.targets_of(table(spark, d, "mix_target"))
-    return mixing.mix(sizes, targets)
+    return sizes, targets, mixing.source_tokens(sizes, targets)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets, tokens = _sources(spark, d)
+    return mixing.mix(sizes, targets, tokens=tokens)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    sizes, targets = mixing.sized(table(spark, d, "documents")), mixing.targets_of(table(spark, d, "mix_target"))
-    return mixing.report(mixing.mix(sizes, targets), targets, mixing.source_tokens(sizes, targets))
+    sizes, targets, tokens = _sources(spark, d)
+    return mixing.report(mixing.mix(sizes, targets, tokens=tokens), targets, tokens)
+
+
+def p9_temperature_mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets, tokens = _sources(spark, d)
+    return mixing.tempered_mix(sizes, targets, tokens)
 
 
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
-    sizes, targets = mixing.sized(table(spark, d, "documents")), mixing.targets_of(table(spark, d, "mix_target"))
-    return mixing.temperature_report(mixing.source_tokens(sizes, targets), targets, spark)
+    sizes, targets, tokens = _sources(spark, d)
+    return mixing.temperature_report(mixing.tempered_mix(sizes, targets, tokens), tokens, targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_sessions, p2_found, p2_associations, p3_found, p3_scores, p4_found, p4_ranking, p7_found, p7_neighbours,
-        p8_ids, p8_round_trip, p9_mix, p9_shares, p9_temperature, p10_found, p10_redacted,
+        p8_ids, p8_round_trip, p9_mix, p9_shares, p9_temperature, p9_temperature_mix, p10_found, p10_redacted,
     )
 }

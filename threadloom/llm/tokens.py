@@ -18,12 +18,14 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The pre-token pattern of the byte_bpe_50k tokenizer (fixed value: public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = "byte_bpe_50k.json"
 REMEMBERED = 1 << 17
 BLOCK = 4096
 
@@ -53,7 +55,8 @@ class ByteBpe:
             a, b = (raw(s) for s in (m.split(" ") if isinstance(m, str) else m))
             self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
         self.lookahead = self._sufficient_lookahead()
-        self.find = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.find, self.find_one_by_one = pattern.findall, pattern.finditer
         self.known: dict[str, list[int]] = {}
 
     def _sufficient_lookahead(self) -> int:
@@ -118,21 +121,23 @@ class ByteBpe:
         known = self.known.get(s)
         if known is not None:
             return known
-        data = s.encode("utf-8", "surrogatepass")
-        whole = self.ids.get(data) if len(data) == 1 else None
-        ids = [whole] if whole is not None else list(self.transduce([data]))
+        ids = list(self.transduce(s[at : at + BLOCK].encode("utf-8", "surrogatepass") for at in range(0, len(s), BLOCK)))
         if len(s) <= 32:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[s] = ids
         return ids
 
+    def pieces(self, text: str) -> Iterable[str]:
+        """The pre-tokens of a text in order; those of a long text come one by one and are never held together."""
+        return self.find(text) if len(text) <= BLOCK else (m[0] for m in self.find_one_by_one(text))
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; an empty list for an empty or null one."""
         out: list[int] = []
         if text:
             known, piece = self.known.get, self.piece
-            for s in self.find(text):
+            for s in self.pieces(text):
                 out += known(s) or piece(s)
         return out
 
@@ -140,7 +145,7 @@ class ByteBpe:
         if not text:
             return 0
         known, piece = self.known.get, self.piece
-        return sum(len(known(s) or piece(s)) for s in self.find(text))
+        return sum(len(known(s) or piece(s)) for s in self.pieces(text))
 
     def decode(self, portions: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of ids that arrive in portions; a character split between ids comes out once it is whole."""
@@ -150,13 +155,22 @@ class ByteBpe:
         yield machine.decode(b"", True)
 
 
+def ship_tokenizer(spark: SparkSession, name: str, folder: str) -> None:
+    """Give every executor, also one that joins later, the tokenizer's file, so that only the driver's machine needs the folder."""
+    spark.sparkContext.addFile(os.path.join(folder, name))
+
+
 @lru_cache(maxsize=2)
-def byte_bpe(name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> ByteBpe:
-    """The tokenizer of a file in `folder`, loaded once per Python worker."""
-    return ByteBpe(os.path.join(folder, name))
+def byte_bpe(name: str = TOKENIZER, folder: str = TOKENIZERS) -> ByteBpe:
+    """The tokenizer of a file shipped to the executors, else in `folder`, loaded once per Python worker."""
+    try:
+        sent = SparkFiles.get(name)
+    except Exception:  # noqa: BLE001  outside of Spark there are no shipped files
+        sent = ""
+    return ByteBpe(sent if os.path.isfile(sent) else os.path.join(folder, name))
 
 
-def encode(records: DataFrame, record: str, text: str, name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
+def encode(records: DataFrame, record: str, text: str, name: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
     """(record, ids) of every row: the ids without special tokens, an empty list for an empty or null text.
 
     Strings of special tokens inside a text are ordinary text. Repeated rows stay rows of their own. One pass, no shuffle.
@@ -170,11 +184,12 @@ def encode(records: DataFrame, record: str, text: str, name: str = "byte_bpe_50k
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["record", "ids"])
 
+    ship_tokenizer(records.sparkSession, name, folder)
     kind = records.schema[record].dataType.simpleString()
     return records.select(F.col(record).alias("record"), F.col(text)).mapInArrow(run, f"record {kind}, ids array<int>").withColumnRenamed("record", record)
 
 
-def count_tokens(records: DataFrame, keep: list[str], text: str, name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
+def count_tokens(records: DataFrame, keep: list[str], text: str, name: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
     """The columns `keep` and n_tokens of every row; 0 for an empty or null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +198,12 @@ def count_tokens(records: DataFrame, keep: list[str], text: str, name: str = "by
             n = pa.array([bpe.count(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], [*keep, "n_tokens"])
 
+    ship_tokenizer(records.sparkSession, name, folder)
     schema = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in keep)
     return records.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, n_tokens bigint")
 
 
-def decode(encoded: DataFrame, record: str, ids: str = "ids", name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
+def decode(encoded: DataFrame, record: str, ids: str = "ids", name: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
     """(record, text) of every row of ids; '' for an empty or null list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,5 +212,6 @@ def decode(encoded: DataFrame, record: str, ids: str = "ids", name: str = "byte_
             texts = ["".join(bpe.decode([x or []])) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["record", "text"])
 
+    ship_tokenizer(encoded.sparkSession, name, folder)
     kind = encoded.schema[record].dataType.simpleString()
     return encoded.select(F.col(record).alias("record"), F.col(ids)).mapInArrow(run, f"record {kind}, text string").withColumnRenamed("record", record)
