@@ -1,7 +1,7 @@
 """Nested export records as related flat tables (problem 5).
 
 Every object gets a Merkle identity: the SHA-256 of its canonical scalar fields and of the identities of its children,
-computed bottom-up. `occurrences` holds one row for each occurrence with its parent's identity and its ordinal (the bridge);
+computed bottom-up; a null, a missing element and an empty array or text are told apart. `occurrences` holds one row for each occurrence with its parent's identity and its ordinal (the bridge);
 `objects` holds each distinct object once. Identities are built inside the record with higher-order functions, so one
 explode and no shuffle produce the bridge below the records; `rooted` adds the records themselves by a join on delivery_id, and
 `objects` shuffles on the identity itself, with map-side combine.
@@ -28,11 +28,16 @@ def canonical_json(c: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
-def _scalars(x: Column, kind: str) -> Column:
+def _fields(x: Column, kind: str) -> list[Column]:
     fields = [x.getField(f).cast("string") for f in SCALARS[kind]]
     if kind == "content":
         fields[-1] = canonical_json(fields[-1])
-    return F.to_json(F.struct(*[f.alias(n) for f, n in zip(fields, SCALARS[kind])]))
+    return fields
+
+
+def _scalars(x: Column, kind: str) -> Column:
+    """The scalar fields as readable JSON; null ones are left out."""
+    return F.to_json(F.struct(*[f.alias(n) for f, n in zip(_fields(x, kind), SCALARS[kind])]))
 
 
 def _row(kind: str, msg: Column, block: Column, item: Column, node: Column, parent: Column, body: Column) -> Column:
@@ -42,20 +47,43 @@ def _row(kind: str, msg: Column, block: Column, item: Column, node: Column, pare
     )
 
 
-def _digest(kind: str, body: Column, *children: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(kind), body, *[F.concat_ws(",", F.transform(F.coalesce(c, F.array()), lambda h: F.coalesce(h, F.lit("-")))) for c in children]), 256)
+def _told(c: Column) -> Column:
+    """A value with its length before it, so that no two lists of values read alike; ~ for null."""
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+
+
+def _children(c: Column) -> Column:
+    """The identities of an array's elements, - for a null one; a null array is ~, an empty one []."""
+    return F.coalesce(F.concat(F.lit("["), F.array_join(c, ",", "-"), F.lit("]")), F.lit("~"))
+
 
+def _digest(kind: str, values: list[Column], *children: Column) -> Column:
+    """The identity of an object: of its kind, its canonical values and its children's identities. What differs in null and empty differs."""
+    return F.sha2(F.concat_ws("|", F.lit(kind), *map(_told, values), *map(_children, children)), 256)
 
-def _leaves(values: Column, kind: str, body) -> Column:
-    """array<struct<pos, body, hash>> of the non-null elements, and hashes of all elements (null where the element is null)."""
-    return F.transform(values, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("pos"), body(x).alias("body"), _digest(kind, body(x)).alias("hash"))))
+
+def _leaves(values: Column, kind: str, fields, body) -> Column:
+    """array<struct<pos, body, hash>> of the elements; null where the element is null."""
+    return F.transform(values, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("pos"), body(x).alias("body"), _digest(kind, fields(x)).alias("hash"))))
+
+
+def _structs(values: Column, kind: str) -> Column:
+    return _leaves(values, kind, lambda x: _fields(x, kind), lambda x: _scalars(x, kind))
+
+
+def _texts(values: Column, kind: str) -> Column:
+    return _leaves(values, kind, lambda x: [canonical_json(x)], canonical_json)
 
 
 def _block(b: Column, j: Column) -> Column:
-    cit = _leaves(b.getField("citations"), "citation", canonical_json)
-    nest = _leaves(b.getField("content"), "nested", canonical_json)
-    inp = _leaves(F.array(b.getField("input")), "input", lambda x: _scalars(x, "input"))
-    return F.when(b.isNotNull(), F.struct(j.alias("pos"), _scalars(b, "content").alias("body"), cit.alias("cit"), nest.alias("nest"), inp.alias("inp")))
+    cit, nest = _texts(b.getField("citations"), "citation"), _texts(b.getField("content"), "nested")
+    inp = _structs(F.array(b.getField("input")), "input")
+    own = F.array(*_fields(b, "content"))
+    return F.when(b.isNotNull(), F.struct(j.alias("pos"), _scalars(b, "content").alias("body"), own.alias("own"), cit.alias("cit"), nest.alias("nest"), inp.alias("inp")))
+
+
+def _each(own: Column, kind: str) -> list[Column]:
+    return [F.get(own, F.lit(i)) for i in range(len(SCALARS[kind]))]
 
 
 def _hashes(leaves: Column) -> Column:
@@ -63,15 +91,15 @@ def _hashes(leaves: Column) -> Column:
 
 
 def _block_hashed(b: Column) -> Column:
-    node = _digest("content", b.getField("body"), _hashes(b.getField("cit")), _hashes(b.getField("nest")), _hashes(b.getField("inp")))
+    node = _digest("content", _each(b.getField("own"), "content"), _hashes(b.getField("cit")), _hashes(b.getField("nest")), _hashes(b.getField("inp")))
     return F.when(b.isNotNull(), F.struct(b.getField("pos").alias("pos"), b.getField("body").alias("body"), node.alias("hash"), b.getField("cit").alias("cit"), b.getField("nest").alias("nest"), b.getField("inp").alias("inp")))
 
 
 def _message(m: Column, i: Column) -> Column:
     blocks = F.transform(F.transform(m.getField("content"), _block), _block_hashed)
-    atts = _leaves(m.getField("attachments"), "attachment", lambda x: _scalars(x, "attachment"))
-    files = _leaves(m.getField("files"), "file", lambda x: _scalars(x, "file"))
-    return F.when(m.isNotNull(), F.struct(i.alias("pos"), _scalars(m, "message").alias("body"), blocks.alias("blocks"), atts.alias("atts"), files.alias("files")))
+    atts, files = _structs(m.getField("attachments"), "attachment"), _structs(m.getField("files"), "file")
+    own = F.array(*_fields(m, "message"))
+    return F.when(m.isNotNull(), F.struct(i.alias("pos"), _scalars(m, "message").alias("body"), own.alias("own"), blocks.alias("blocks"), atts.alias("atts"), files.alias("files")))
 
 
 def _present(values: Column) -> Column:
@@ -79,7 +107,7 @@ def _present(values: Column) -> Column:
 
 
 def _message_hash(m: Column) -> Column:
-    return _digest("message", m.getField("body"), _hashes(m.getField("blocks")), _hashes(m.getField("atts")), _hashes(m.getField("files")))
+    return _digest("message", _each(m.getField("own"), "message"), _hashes(m.getField("blocks")), _hashes(m.getField("atts")), _hashes(m.getField("files")))
 
 
 def _message_rows(m: Column, node: Column) -> Column:
@@ -120,13 +148,14 @@ def roots(exports: DataFrame) -> DataFrame:
     """
     hashes = _messages_hashed(exports).groupBy("delivery_id").agg(F.sort_array(F.collect_list(F.struct(F.col("t.pos").alias("pos"), F.col("node").alias("hash")))).alias("found"))
     flat = exports.withColumns({"account_uuid": F.col("account.uuid"), "account_email": F.col("account.email")})
-    body = _scalars(F.struct(*SCALARS["conversation"]), "conversation")
-    rows = flat.select("delivery_id", body.alias("body"), F.coalesce(F.size("chat_messages"), F.lit(0)).alias("n")).join(hashes, "delivery_id", "left")
+    whole = F.struct(*SCALARS["conversation"])
+    rows = flat.select("delivery_id", _scalars(whole, "conversation").alias("body"), F.array(*_fields(whole, "conversation")).alias("own"), F.when(F.col("chat_messages").isNotNull(), F.size("chat_messages")).alias("n"))
+    rows = rows.join(hashes, "delivery_id", "left")
     at = F.map_from_entries(F.coalesce("found", F.array().cast("array<struct<pos:int,hash:string>>")))
-    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).when(F.col("n") == 0, F.array().cast("array<int>"))
     children = F.transform(places, lambda i: F.try_element_at(F.col("at"), i))
     none, null = F.lit(-1), F.lit(None).cast("string")
-    keyed = rows.withColumn("at", at).withColumn("node", _digest("conversation", F.col("body"), children))
+    keyed = rows.withColumn("at", at).withColumn("node", _digest("conversation", _each(F.col("own"), "conversation"), children))
     return keyed.select("delivery_id", _row("conversation", none, none, none, F.col("node"), null, F.col("body")).alias("r")).select("delivery_id", "r.*")
 
 

