@@ -1,4 +1,4 @@
-"""Vectors as array columns: cosine, means and running means, in double precision."""
+"""Vectors as array columns: cosine and means, in double precision."""
 
 from __future__ import annotations
 
@@ -29,11 +29,6 @@ def usable(a: Column | str, dim: int | None = None) -> Column:
     return F.coalesce(fine & (F.size(a) == dim if dim else F.lit(True)), F.lit(False))
 
 
-def running_mean(centroid: Column, n: Column, x: Column) -> Column:
-    """(centroid * n + x) / (n + 1), element by element."""
-    return F.zip_with(centroid, x, lambda c, v: (c * n + v) / (n + 1))
-
-
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:
     """(keys, out, n): the element-wise mean per key and the number of vectors.
 
@@ -45,3 +40,20 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "centro
     rows = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__m"))).alias("__v"), F.max("__n").alias("n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     mean = F.transform("__v", lambda s: s.getField("__m"))
     return rows.select(*keys, F.when(F.col("__lo") == F.col("__hi"), mean).otherwise(F.raise_error(F.lit("vectors of different dimension")).cast("array<double>")).alias(out), "n")
+
+
+def to_json(c: Column | str) -> Column:
+    """An array of words or numbers as JSON text; null stays null."""
+    return F.to_json(_c(c))
+
+
+def words_from_json(c: Column | str) -> Column:
+    """array<string> of a JSON array of words, as stored sets are written; anything else is an error, null stays null."""
+    c = _c(c)
+    read = F.from_json(c, "array<string>", {"mode": "PERMISSIVE"})
+    return F.when(c.isNull(), None).otherwise(F.when(F.trim(c).startswith("[") & read.isNotNull(), read).otherwise(F.raise_error(F.lit("not a JSON array")).cast("array<string>")))
+
+
+def from_json(c: Column | str) -> Column:
+    """array<float> of a JSON array of numbers, as stored centroids are written; null where it is none."""
+    return F.from_json(_c(c), "array<float>")

@@ -36,18 +36,21 @@ class _Job:
 
 
 class SearchJobs:
-    """At most `most` jobs, oldest out first; finished ones are kept `retention` seconds; a job has `budget` seconds from its start.
+    """At most `most` jobs, oldest out first; finished ones are kept `retention` seconds; a job has `budget` seconds from its creation, waiting included.
 
     `workers` run at once and `queue` may wait; a job beyond that fails at once and keeps its first results. A state changes
-    from RUNNING only. `spark` lets the budget cancel a job's Spark stages through its job group.
+    from RUNNING only. `spark` lets the budget cancel a job's Spark stages through its job group. A sweeper ends what is over its
+    budget and drops what is over its retention every `sweep` seconds, whether anyone polls or not.
     """
 
-    def __init__(self, spark=None, most: int = 200, retention: float = 300, budget: float = 15, workers: int = 2, queue: int = 16, clock: Callable[[], float] = time.monotonic) -> None:
+    def __init__(self, spark=None, most: int = 200, retention: float = 300, budget: float = 15, workers: int = 2, queue: int = 16, clock: Callable[[], float] = time.monotonic, sweep: float = 1.0) -> None:
         self._spark, self._most, self._retention, self._budget, self._clock = spark, most, retention, budget, clock
         self._room = threading.BoundedSemaphore(workers + queue)
         self._pool = ThreadPoolExecutor(workers, thread_name_prefix="refine")
         self._jobs: OrderedDict[str, _Job] = OrderedDict()
         self._lock = threading.Lock()
+        self._closed = threading.Event()
+        threading.Thread(target=self._sweeper, args=(sweep,), name="sweep", daemon=True).start()
 
     def start(self, owner: int, first: list[Any], refine: Callable[[threading.Event], list[Any]] | None) -> Ticket:
         """A ticket with the first results; without `refine` it is complete at once."""
@@ -67,9 +70,6 @@ class SearchJobs:
         return job.ticket
 
     def _run(self, key: str, job: _Job, refine: Callable[[threading.Event], list[Any]]) -> None:
-        timer = threading.Timer(max(0.0, self._budget - (self._clock() - job.created)), self._expire, (key, job))
-        timer.daemon = True
-        timer.start()
         try:
             if self._spark is not None:
                 self._spark.sparkContext.setJobGroup(key, "search refinement", interruptOnCancel=True)
@@ -78,9 +78,21 @@ class SearchJobs:
         except Exception as e:  # noqa: BLE001  a failed refinement keeps the first results
             self._end(job, FAILED, error=str(e)[:500])
         finally:
-            timer.cancel()
             self._room.release()
 
+    def _sweeper(self, every: float) -> None:
+        while not self._closed.wait(every):
+            self.sweep()
+
+    def sweep(self) -> None:
+        """End the jobs that are over their budget, running or waiting, and drop the finished ones that are over their retention."""
+        now = self._clock()
+        with self._lock:
+            self._sweep()
+            late = [(k, j) for k, j in self._jobs.items() if j.ended is None and now - j.created > self._budget]
+        for key, job in late:
+            self._expire(key, job)
+
     def _expire(self, key: str, job: _Job) -> None:
         job.cancelled.set()
         self._end(job, FAILED, error="time budget exceeded")
@@ -119,4 +131,5 @@ class SearchJobs:
         return job.ticket
 
     def close(self) -> None:
+        self._closed.set()
         self._pool.shutdown(wait=False, cancel_futures=True)

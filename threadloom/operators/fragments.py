@@ -91,3 +91,16 @@ def fragment_messages(messages: DataFrame, key: str, text: str, mode: str = "fai
     else:
         raise ValueError("mode is faithful or paragraph")
     return out.withColumn("hash", fragment_hash(key, "fragment_order", "text"))
+
+
+def fragment_units(units: DataFrame, message: str, mode: str = "faithful", model=None, threshold: float = THRESHOLD) -> DataFrame:
+    """(message, unit_pos, fragment_order, text, confidence, embedding, hash) of text units (message, unit_pos, text).
+
+    Each unit is cut by itself, with orders from 1; hash is that of message, order and text.
+    """
+    keyed = units.select(F.concat_ws(":", message, "unit_pos").alias("__unit"), "text")
+    cut_up = fragment_messages(keyed, "__unit", "text", mode, model, threshold).drop("hash")
+    part = F.split("__unit", ":")
+    kind = units.schema[message].dataType.simpleString()
+    out = cut_up.withColumns({message: part[0].cast(kind), "unit_pos": part[1].cast("int")}).drop("__unit")
+    return out.withColumn("hash", fragment_hash(message, "fragment_order", "text"))

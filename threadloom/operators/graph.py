@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scores import npmi
 from threadloom.functions.text import normalize_phrase
+from threadloom.operators.skew import hot_keys, keyed_join
 from threadloom.session import held
 
 TOP_EDGES = 3
@@ -48,8 +49,13 @@ def resolve_nodes(labels: DataFrame, existing: DataFrame) -> DataFrame:
     wanted = labels.select("user_id", "label").filter("label is not null and label != ''").distinct()
     known = existing.groupBy("user_id", "label").agg(F.min("node_id").alias("node_id"))
     joined = wanted.join(known, ["user_id", "label"], "left")
-    fresh = F.pmod(F.xxhash64("user_id", "label"), F.lit(1 << 62)) + F.lit(1 << 62)
-    return joined.select(F.coalesce("node_id", fresh).alias("node_id"), "user_id", "label")
+    # 62 bits of SHA-256 above all ids given by hand; two labels with one number are told apart by a second draw
+    draw = lambda salt: F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(salt), F.col("user_id").cast("string"), "label"), 256), 1, 15), 16, 10).cast("bigint") + F.lit(1 << 62)
+    numbered = joined.withColumn("__id", F.coalesce("node_id", draw("1")))
+    twice = numbered.filter("node_id is null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("user_id", "label")).alias("__first")).filter("__n > 1")
+    apart = numbered.join(F.broadcast(twice), "__id", "left")  # collisions of 60 bits: none below some hundred million labels, few beyond
+    again = F.col("node_id").isNull() & F.col("__n").isNotNull() & (F.struct("user_id", "label") != F.col("__first"))
+    return apart.select(F.when(again, draw("2")).otherwise(F.col("__id")).alias("node_id"), "user_id", "label")
 
 
 def map_fragments(found: DataFrame, nodes: DataFrame, key: str = "fragment_id") -> DataFrame:
@@ -58,6 +64,17 @@ def map_fragments(found: DataFrame, nodes: DataFrame, key: str = "fragment_id")
     return joined.select(key, "node_id").distinct().withColumn("weight", F.lit(1.0).cast("float"))
 
 
+def node_attributes(nodes: DataFrame, mapping: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(node_id, user_id, label, centroid, fragment_count, avg_similarity, is_stable) of resolved nodes.
+
+    centroid is the phrase's (`keywords.phrase_centroids`: user_id, phrase, centroid), null where it has none; fragment_count counts the
+    distinct fragments of `mapping`; a node starts with an average similarity of 0 and as stable.
+    """
+    counted = nodes.join(node_counts(mapping), "node_id", "left")
+    placed = counted.join(centroids.select("user_id", F.col("phrase").alias("label"), F.col("centroid").cast("array<float>").alias("centroid")), ["user_id", "label"], "left")
+    return placed.select("node_id", "user_id", "label", "centroid", F.coalesce("fragment_count", F.lit(0)).cast("int").alias("fragment_count"), F.lit(0.0).cast("float").alias("avg_similarity"), F.lit(True).alias("is_stable"))
+
+
 def node_counts(mapping: DataFrame, key: str = "fragment_id") -> DataFrame:
     """(node_id, fragment_count): distinct fragments per node; rows with a null id do not count."""
     return mapping.filter(F.col(key).isNotNull() & F.col("node_id").isNotNull()).select(key, "node_id").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("fragment_count"))
@@ -71,28 +88,36 @@ def direct_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.groupBy("user_id", F.least("a", "b").alias("source_node_id"), F.greatest("a", "b").alias("target_node_id")).agg(F.sum("n").alias("cooccurrence_count"))
 
 
-def keyword_edges(phrase_keyword: DataFrame, user: str, phrase: str = "phrase", keyword: str = "keyword", salts: int = 16) -> DataFrame:
+def keyword_edges(phrase_keyword: DataFrame, user: str, phrase: str = "phrase", keyword: str = "keyword", block: int = 4096) -> DataFrame:
     """(user, phrase_a, phrase_b, shared, overlap) of phrases that share a keyword, each unordered pair once; overlap is Jaccard.
 
-    Candidates come from the keyword, never from all pairs. One side of the self-join is salted and the other repeated over the
-    salts, so the pairs of a keyword that most phrases share are made by many tasks; counts combine before their shuffle.
+    Candidates come from the keyword, never from all pairs. A keyword's phrases are cut into blocks of about `block`; each pair of blocks is a key
+    of its own, so the pairs of a keyword that most phrases share are made by as many tasks as they need, and a keyword of one block meets
+    itself without a copy. Counts combine before their shuffle.
     """
     rows = phrase_keyword.select(user, phrase, keyword).distinct()
     sizes = rows.groupBy(user, phrase).agg(F.count(F.lit(1)).alias("k"))
-    left = rows.select(user, keyword, F.col(phrase).alias("phrase_a"), F.pmod(F.xxhash64(phrase), F.lit(salts)).alias("s"))
-    right = rows.select(user, keyword, F.col(phrase).alias("phrase_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("s"))
-    shared = left.join(right, [user, keyword, "s"]).filter("phrase_a < phrase_b").groupBy(user, "phrase_a", "phrase_b").agg(F.count(F.lit(1)).alias("shared"))
+    blocks = rows.groupBy(user, keyword).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
+    many = hot_keys(blocks, [user, keyword], "__n", rows=2)
+    placed = keyed_join(rows, blocks, [user, keyword], hot=many).withColumn("__b", F.pmod(F.xxhash64(phrase), "__n").cast("int"))
+    left = placed.select(user, keyword, F.col(phrase).alias("phrase_a"), "__b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__c"))
+    right = placed.select(user, keyword, F.col(phrase).alias("phrase_b"), F.col("__b").alias("__c"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__b"))
+    shared = left.join(right, [user, keyword, "__b", "__c"]).filter("phrase_a < phrase_b").groupBy(user, "phrase_a", "phrase_b").agg(F.count(F.lit(1)).alias("shared"))
     sized = shared.join(sizes.select(user, F.col(phrase).alias("phrase_a"), F.col("k").alias("ka")), [user, "phrase_a"]).join(sizes.select(user, F.col(phrase).alias("phrase_b"), F.col("k").alias("kb")), [user, "phrase_b"])
     return sized.select(user, "phrase_a", "phrase_b", "shared", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))).alias("overlap"))
 
 
 def merge_edges(direct: DataFrame, indirect: DataFrame) -> DataFrame:
-    """One row per edge with both signals; what a side lacks is 0, learned confirmations and IDF start at 0."""
+    """One row per edge with both signals; what a side lacks is 0, learned confirmations and IDF start at 0.
+
+    npmi, fused_weight and weights_epoch are null: a new count makes any former weight void, and searches take NPMI from `stored_adjacency`.
+    """
     key = ["user_id", "source_node_id", "target_node_id"]
     joined = direct.join(indirect, key, "full_outer")
     return joined.select(
         *key, F.coalesce("cooccurrence_count", F.lit(0)).alias("cooccurrence_count"), F.coalesce("shared_keyword_count", F.lit(0)).alias("shared_keyword_count"),
         F.coalesce("overlap_score", F.lit(0.0)).alias("overlap_score"), F.lit(0.0).alias("shared_keyword_idf"), F.lit(0).alias("learned_confirmations"),
+        F.lit(None).cast("double").alias("npmi"), F.lit(None).cast("double").alias("fused_weight"), F.lit(None).cast("bigint").alias("weights_epoch"),
     )
 
 
@@ -125,6 +150,29 @@ def adjacency(scored: DataFrame, top: int = TOP_EDGES) -> DataFrame:
     return both.withColumn("edge_rank", rn).filter(F.col("edge_rank") <= top)
 
 
+def known_mapping(mapping: DataFrame, fragments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Mapping rows whose fragment and node exist; mapping_id is made where the table has none."""
+    known = mapping.filter("fragment_id is not null and node_id is not null")
+    known = known.join(fragments.select("fragment_id"), "fragment_id", "left_semi").join(nodes.select("node_id"), "node_id", "left_semi")
+    return known if "mapping_id" in known.columns else known.withColumn("mapping_id", F.xxhash64("fragment_id", "node_id"))
+
+
+def counted_edges(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with their pair count and fragment counts, from `known_mapping`; edge_id is the pair of its nodes."""
+    links = known.select("fragment_id", "node_id").distinct().join(nodes.select("node_id", "user_id"), "node_id")
+    pairs = phrase_pairs(links.select("fragment_id", "user_id", F.col("node_id").alias("label")), "fragment_id", "user_id")
+    counts = node_counts(known)
+    side = lambda c: counts.select(F.col("node_id").alias(f"{c}_node_id"), F.col("fragment_count").alias(f"{c}_fragment_count"))
+    edges = pairs.select("user_id", F.col("label_a").alias("source_node_id"), F.col("label_b").alias("target_node_id"), F.col("n").alias("cooccurrence_count"))
+    return edges.join(side("source"), "source_node_id").join(side("target"), "target_node_id").withColumn("edge_id", F.struct("source_node_id", "target_node_id"))
+
+
+def stored_adjacency(known: DataFrame, fragments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The top edges of every node by NPMI, made from the mapping once and then stored."""
+    totals = fragments.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return adjacency(npmi_edges(counted_edges(known, nodes), totals, strict=False))
+
+
 def traverse(roots: DataFrame, near: DataFrame, hops: int = HOPS, most: int = MOST_NODES) -> DataFrame:
     """(node, score): the best product of root score and NPMIs over at most `hops` steps, roots included.
 
@@ -158,9 +206,3 @@ def fragment_hits(best: DataFrame, mapping: DataFrame) -> DataFrame:
     joined = links.join(F.broadcast(best.select("node", "score")), "node").select("fragment_id", "mapping_id", "score")
     pick = F.min_by(F.struct("mapping_id", "score"), F.struct(-F.col("score"), F.col("mapping_id")))
     return joined.groupBy("fragment_id").agg(pick.alias("p")).select("fragment_id", "p.mapping_id", "p.score")
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """struct<shared, overlap> of two keyword arrays; overlap is 0 where both are empty."""
-    shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.struct(shared.alias("shared"), F.when(union > 0, shared / union).otherwise(0.0).alias("overlap"))

@@ -37,7 +37,7 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(dl.alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.try_divide(F.sum("dl"), F.count_if(F.col("dl") > 0)), F.lit(1.0)).alias("avgdl"))
 
 
-def _within(a: Column, b: Column, most: Column) -> Column:
+def within(a: Column, b: Column, most: Column) -> Column:
     """Edit distance with adjacent transpositions as one edit, for distances up to 2; above `most` it is null.
 
     Levenshtein counts a transposition as two edits, so only where it is above the limit, or 2, can a swap lower it: one swap of
@@ -61,7 +61,12 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, expansions: int = FUZZY
     allowed = F.when(length <= 2, 0).when(length >= 7, 2).otherwise(1)
     asked = terms.select("token", allowed.alias("most")).filter("most > 0")
     near = vocabulary.join(F.broadcast(asked), F.abs(F.length("term") - F.length("token")) <= F.col("most"))
-    scored = near.withColumn("edits", _within(F.col("token"), F.col("term"), F.col("most"))).filter("edits is not null")
+    scored = near.withColumn("edits", within(F.col("token"), F.col("term"), F.col("most"))).filter("edits is not null")
+    return best_expansions(scored, expansions)
+
+
+def best_expansions(scored: DataFrame, expansions: int = FUZZY_EXPANSIONS) -> DataFrame:
+    """(token, term, df, edits, boost) of the `expansions` best terms of each token of (token, term, df, edits)."""
     boosted = scored.withColumn("boost", 1 - F.col("edits") / F.least(F.length("token"), F.length("term")))
     ranked = boosted.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy(F.col("boost").desc(), "term")))
     return ranked.filter(F.col("rn") <= expansions).select("token", "term", "df", "edits", "boost")
@@ -99,14 +104,10 @@ def build_index(docs: DataFrame, key: str, text: str, user: str | None = None) -
     return Index(key, posts, term_stats(posts), corpus_stats(docs, text), user)
 
 
-def search_index(index: Index, query: str, user_id: int | None = None, limit: int = 50, fuzzy: bool = True) -> DataFrame:
-    """(key, score) of the `limit` best documents: for each distinct query token the better of 3 * exact BM25 and the fuzzy score, summed.
-
-    A fuzzy match counts with the largest df of its token's expansions and its boost. Ties go to the smaller key. No token, no rows.
-    """
-    check_query(query, user_id, limit)
-    key, posts, vocabulary = index.key, index.posts, index.vocabulary
-    asked = posts.sparkSession.range(1).select(F.explode(query_tokens(F.lit(query))).alias("token"))
+def _scored(index: Index, hits: DataFrame, query: str, fuzzy: bool, keep: list[str]) -> DataFrame:
+    """(keep..., key, score): for each distinct query token the better of 3 * exact BM25 and the fuzzy score, summed."""
+    key, vocabulary = index.key, index.vocabulary
+    asked = hits.sparkSession.range(1).select(F.explode(query_tokens(F.lit(query))).alias("token"))
     # one row per token, so at most 250, broadcast
     exact = vocabulary.select("term", "df").join(F.broadcast(asked), F.col("token") == F.col("term")).select("token", "term", "df", F.lit(EXACT_BOOST).alias("boost"))
     clauses = exact
@@ -114,15 +115,32 @@ def search_index(index: Index, query: str, user_id: int | None = None, limit: in
         expanded = fuzzy_terms(asked, vocabulary)
         blended = expanded.withColumn("df", F.max("df").over(Window.partitionBy("token"))).select("token", "term", "df", "boost")
         clauses = exact.unionByName(blended)
-    hits = posts if user_id is None else posts.filter(F.col(index.user) == user_id)
     # at most 250 tokens with 51 clauses each
     hits = hits.join(F.broadcast(clauses), "term").crossJoin(F.broadcast(index.stats))
     part = F.col("boost") * search_bm25(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     # a token's fuzzy clause sums its terms, the better clause counts: one aggregation per document, since a document's clauses are few
     exact_part, fuzzy_part = F.when(F.col("boost") == EXACT_BOOST, part), F.when(F.col("boost") != EXACT_BOOST, part)
-    clause = hits.groupBy(key, "token").agg(F.sum(exact_part).alias("a"), F.sum(fuzzy_part).alias("b"))
+    clause = hits.groupBy(*keep, key, "token").agg(F.sum(exact_part).alias("a"), F.sum(fuzzy_part).alias("b"))
     best = F.greatest(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)))
-    return clause.groupBy(key).agg(F.sum(best).alias("score")).orderBy(F.col("score").desc(), key).limit(limit)
+    return clause.groupBy(*keep, key).agg(F.sum(best).alias("score"))
+
+
+def search_index(index: Index, query: str, user_id: int | None = None, limit: int = 50, fuzzy: bool = True) -> DataFrame:
+    """(key, score) of the `limit` best documents, of one user or of all.
+
+    A fuzzy match counts with the largest df of its token's expansions and its boost. Ties go to the smaller key. No token, no rows.
+    """
+    check_query(query, user_id, limit)
+    hits = index.posts if user_id is None else index.posts.filter(F.col(index.user) == user_id)
+    return _scored(index, hits, query, fuzzy, []).orderBy(F.col("score").desc(), index.key).limit(limit)
+
+
+def search_users(index: Index, query: str, limit: int = 50, fuzzy: bool = True) -> DataFrame:
+    """(user, key, score) of the `limit` best documents of every user. The limit is applied before the shuffle by user, so a large user costs no large task."""
+    check_query(query, None, limit)
+    scored = _scored(index, index.posts.filter(F.col(index.user).isNotNull()), query, fuzzy, [index.user])
+    rn = F.row_number().over(Window.partitionBy(index.user).orderBy(F.round("score", 12).desc(), index.key))
+    return scored.withColumn("__rn", rn).filter(F.col("__rn") <= limit).drop("__rn")
 
 
 def search(docs: DataFrame, key: str, text: str, query: str, user: tuple[str, int] | None = None, limit: int = 50, fuzzy: bool = True, stats_scope: str = "index") -> DataFrame:

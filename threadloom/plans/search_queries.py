@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import vectors
 from threadloom.operators import graph, keywords, lexical, retrieve
-from threadloom.session import cut, held, table
+from threadloom.plans.stored import serving_of
+from threadloom.session import cut, table
 
 #: The query text, user and query vector (a fragment) of the searches in this catalogue.
 QUERY = "weekly schedle of the Kafka topic"
@@ -19,49 +20,32 @@ def _frag(s, d):
 
 
 def _mapping(s, d):
-    """Mapping rows whose fragment and node exist."""
-    m = table(s, d, "semantic_fragment_node").filter("fragment_id is not null and node_id is not null")
-    return m.join(_frag(s, d).select("fragment_id"), "fragment_id", "left_semi").join(table(s, d, "semantic_node").select("node_id"), "node_id", "left_semi")
-
-
-def _links(s, d):
-    """(fragment_id, user_id, label) with the node as label."""
-    nodes = table(s, d, "semantic_node").select("node_id", "user_id")
-    return _mapping(s, d).select("fragment_id", "node_id").distinct().join(nodes, "node_id").select("fragment_id", "user_id", F.col("node_id").alias("label"))
+    return graph.known_mapping(table(s, d, "semantic_fragment_node"), _frag(s, d), table(s, d, "semantic_node"))
 
 
 def node_pairs(s, d):
-    return graph.phrase_pairs(_links(s, d), "fragment_id", "user_id").select("user_id", F.col("label_a").alias("source_node_id"), F.col("label_b").alias("target_node_id"), F.col("n").alias("cooccurrence_count"))
+    return graph.counted_edges(_mapping(s, d), table(s, d, "semantic_node")).select("user_id", "source_node_id", "target_node_id", "cooccurrence_count")
 
 
 def npmi_edges(s, d):
-    counts = graph.node_counts(_mapping(s, d))
-    pairs = node_pairs(s, d)
-    a = counts.select(F.col("node_id").alias("source_node_id"), F.col("fragment_count").alias("source_fragment_count"))
-    b = counts.select(F.col("node_id").alias("target_node_id"), F.col("fragment_count").alias("target_fragment_count"))
-    edges = pairs.join(a, "source_node_id").join(b, "target_node_id").withColumn("edge_id", F.struct("source_node_id", "target_node_id"))
     totals = _frag(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return graph.npmi_edges(edges, totals, strict=False)
+    return graph.npmi_edges(graph.counted_edges(_mapping(s, d), table(s, d, "semantic_node")), totals, strict=False)
 
 
 def adjacency_top3(s, d):
     return graph.adjacency(npmi_edges(s, d)).select("user_id", "node", "neighbor", F.round("npmi", 6).alias("npmi"), "edge_rank")
 
 
-def _roots(s, d):
-    """The nodes of the first ten lexical hits' fragments."""
-    seeds = _seed_hits(s, d)
-    return graph.seed_nodes(seeds, _mapping(s, d), table(s, d, "semantic_node"), USER)
-
-
-def _seed_hits(s, d):
-    own = _frag(s, d).filter(F.col("user_id") == USER).select("fragment_id", (10.0 / F.col("fragment_id")).alias("score"))
-    return own.orderBy("fragment_id").limit(10)
+def _seeds(s, d):
+    """The seeds of the query's lexical hits, as a table."""
+    hits = serving_of(s, d).lexical(USER, QUERY)
+    return s.createDataFrame([(0, f, x) for f, _, x in hits], "q int, fragment_id bigint, score double")
 
 
 def _reached(s, d):
-    near = cut(graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == USER)))
-    return graph.traverse(_roots(s, d), near)
+    seeds = retrieve.select_seeds(_seeds(s, d), "fragment_id", "score", ["q"]).select("fragment_id", "score")
+    roots = graph.seed_nodes(seeds, _mapping(s, d), table(s, d, "semantic_node"), USER)
+    return graph.traverse(roots, serving_of(s, d).table("near", USER))
 
 
 def graph_traverse_3hop(s, d):
@@ -107,7 +91,7 @@ def graph_edges(s, d):
     nodes = cut(graph.resolve_nodes(labels, table(s, d, "semantic_node").select("node_id", "user_id", "label")))
     direct = graph.direct_edges(graph.phrase_pairs(labels, "fragment_id", "user_id"), nodes)
     indirect = graph.indirect_edges(graph.keyword_edges(found, "user_id"), nodes)
-    merged = graph.merge_edges(direct, indirect)
+    merged = graph.merge_edges(direct, indirect).drop("npmi", "fused_weight", "weights_epoch")
     # new nodes' ids come from a hash, so the edges are shown by label
     for side in ("source", "target"):
         merged = merged.join(nodes.select(F.col("node_id").alias(f"{side}_node_id"), F.col("label").alias(side)), f"{side}_node_id")
@@ -138,18 +122,50 @@ def rrf_fuse(s, d):
 
 
 def fast_search(s, d, user: int = USER, query: str = QUERY):
-    """Lexical hits, seeds, traversal and fusion in one plan: (message_id, score, place)."""
-    hits = held(lexical.search(_frag(s, d), "fragment_id", "text", query, ("user_id", user)), 100)
-    one = hits.withColumn("q", F.lit(0))
-    seeds = held(retrieve.select_seeds(one, "fragment_id", "score", ["q"]).select("fragment_id", "score"), 100)
-    mapping, nodes = _mapping(s, d), table(s, d, "semantic_node")
-    near = cut(graph.adjacency(npmi_edges(s, d).filter(F.col("user_id") == user)))
-    reached = graph.traverse(graph.seed_nodes(seeds, mapping, nodes, user), near)
-    found = graph.fragment_hits(reached, mapping).withColumn("q", F.lit(0))
-    links = _frag(s, d).select("fragment_id", "message_id")
-    lists = [retrieve.message_order(x, links, ["q"]) for x in (one, found)]
-    fused = retrieve.reciprocal_rank_fusion(lists, ["q"], "message_id")
-    return fused.select("message_id", F.round("score", 9).alias("score"), "place")
+    """Lexical hits, seeds, traversal and fusion over the stored search tables: (message_id, score, place)."""
+    search = serving_of(s, d)
+    ranked = search.fused(user, search.lexical(user, query))
+    return s.createDataFrame([(m, round(x, 9), i) for i, (m, x) in enumerate(ranked, 1)], "message_id bigint, score double, place int")
+
+
+def node_attributes(s, d):
+    found = cut(_found(s, d))
+    labels = found.select("fragment_id", "user_id", F.col("phrase").alias("label")).distinct()
+    nodes = cut(graph.resolve_nodes(labels, table(s, d, "semantic_node").select("node_id", "user_id", "label")))
+    made = graph.node_attributes(nodes, graph.map_fragments(labels, nodes), keywords.phrase_centroids(found, _keyword_centroids(s, d), "user_id"))
+    total = F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0
+    return made.select("user_id", "label", "fragment_count", "avg_similarity", "is_stable", total.alias("total"))
+
+
+def map_fragments(s, d):
+    """The mapping of fragments and nodes by label."""
+    labels = graph.fragment_phrases(_frag(s, d), "fragment_id", "user_id")
+    nodes = cut(graph.resolve_nodes(labels, table(s, d, "semantic_node").select("node_id", "user_id", "label")))
+    mapping = graph.map_fragments(labels, nodes)
+    return mapping.join(nodes, "node_id").select("fragment_id", "user_id", "label", "weight")
+
+
+def lexical_by_user(s, d):
+    """The query's best fragments of every user."""
+    found = lexical.search_users(lexical.build_index(_frag(s, d), "fragment_id", "text", "user_id"), QUERY)
+    return found.select("user_id", "fragment_id", F.round("score", 6).alias("score"))
+
+
+def _asked(s, d):
+    """The stated set of queries: every fragment whose id is divisible by 100."""
+    return _frag(s, d).filter("fragment_id % 100 = 0").select(F.col("fragment_id").alias("query_id"), "user_id", "embedding")
+
+
+def semantic_search_all(s, d):
+    """The nearest messages of its user for every stated query."""
+    return retrieve.semantic_search_all(_frag(s, d), _asked(s, d)).select("query_id", "message_id", F.round("distance", 5).alias("distance"), "place")
+
+
+def semantic_search_content(s, d):
+    """The vector search's answers with the messages' content: their fragments' texts in order."""
+    parts = _frag(s, d).filter("message_id is not null").groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("fragment_order", "fragment_id", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    messages = parts.select("message_id", F.array_join(F.transform("p", lambda x: x.text), "\n").alias("content"))
+    return retrieve.with_content(semantic_search(s, d), messages)
 
 
 def mrr_at_3(s, d):
@@ -196,6 +212,11 @@ QUERIES = {
     "graph_fragment_hits": graph_fragment_hits,
     "indirect_edges_jaccard": indirect_edges_jaccard,
     "graph_edges": graph_edges,
+    "node_attributes": node_attributes,
+    "map_fragments": map_fragments,
+    "lexical_by_user": lexical_by_user,
+    "semantic_search_all": semantic_search_all,
+    "semantic_search_content": semantic_search_content,
     "rrf_fuse": rrf_fuse,
     "fast_search": fast_search,
     "semantic_search": semantic_search,
@@ -248,10 +269,6 @@ h2 AS (SELECT neighbor AS node, max(score * npmi) AS score FROM h1 JOIN adj USIN
 h3 AS (SELECT neighbor AS node, max(score * npmi) AS score FROM h2 JOIN adj USING (node) GROUP BY ALL),
 best AS (SELECT node, max(score) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY node)
 """
-_TRAV = f"""{_MAP}, seeds AS (SELECT fragment_id, 10.0::DOUBLE / fragment_id AS score FROM semantic_fragments WHERE user_id = {USER} ORDER BY fragment_id LIMIT 10),
-{_HOPS}"""
-
-
 def _search_ctes(fuzzy: bool) -> str:
     clauses = "SELECT token, term, df, 3.0::DOUBLE AS boost FROM toks JOIN stats ON term = token"
     if fuzzy:
@@ -286,13 +303,13 @@ top AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(score
 """
 _U = "((('0x' || substr(sha256('0:' || fragment_id), 1, 12))::BIGINT)::DOUBLE + 0.5) / pow(16, 12)::DOUBLE"
 
-_FAST = f"""WITH {_search_ctes(True)}, {_MAP},
-r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY score DESC, fragment_id) AS rn FROM lex),
+_SEEDS = f"""r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY score DESC, fragment_id) AS rn FROM lex),
 dd AS (SELECT *, CASE WHEN n > 20 THEN n // 2 ELSE n END AS m, 50 * (CASE WHEN n > 20 THEN n // 2 ELSE n END) // 100 AS d FROM r),
 rest AS (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi FROM dd WHERE rn > d),
 drawn AS (SELECT *, -ln({_U}) / exp((CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END - 1) / 0.4) AS c FROM rest),
-seeds AS (SELECT fragment_id, score FROM dd WHERE rn <= d UNION ALL SELECT fragment_id, score FROM drawn QUALIFY row_number() OVER (ORDER BY c, fragment_id) <= m - d),
-{_HOPS},
+seeds AS (SELECT fragment_id, score FROM dd WHERE rn <= d UNION ALL SELECT fragment_id, score FROM drawn QUALIFY row_number() OVER (ORDER BY c, fragment_id) <= m - d)"""
+_TRAV = f"{_search_ctes(True)}, {_MAP}, {_SEEDS}, {_HOPS}"
+_FAST = f"""WITH {_TRAV},
 gh AS (SELECT m.fragment_id, max(b.score) AS score FROM map m JOIN best b ON b.node = m.node_id GROUP BY ALL),
 hits AS (SELECT 'l' AS list, * FROM lex UNION ALL SELECT 'g', * FROM gh WHERE score > 0),
 ord AS (SELECT list, message_id, row_number() OVER (PARTITION BY list ORDER BY score DESC, fragment_id) AS p FROM hits JOIN semantic_fragments USING (fragment_id) WHERE message_id IS NOT NULL),
@@ -311,6 +328,20 @@ ORACLE = {
 co AS (SELECT a.user_id, a.phrase AS phrase_a, b.phrase AS phrase_b, count(*) AS n FROM fl a JOIN fl b ON a.fragment_id = b.fragment_id AND a.phrase < b.phrase GROUP BY ALL)
 SELECT user_id, phrase_a AS label_a, phrase_b AS label_b, coalesce(n, 0) AS cooccurrence_count, coalesce(shared, 0) AS shared_keyword_count, round(coalesce(overlap, 0.0), 6) AS overlap_score FROM co FULL JOIN jac USING (user_id, phrase_a, phrase_b)""",
     "fast_search": _FAST,
+    "node_attributes": f"""WITH {_FOUND}, e AS (SELECT nk.keyword, f.user_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM nk JOIN semantic_fragments f USING (fragment_id) WHERE {_FINE}),
+kc AS (SELECT user_id, keyword, pos, avg(x) AS x FROM e GROUP BY ALL), pk AS (SELECT DISTINCT user_id, phrase, keyword FROM found),
+pc AS (SELECT user_id, phrase, pos, avg(x)::FLOAT AS x FROM pk JOIN kc USING (user_id, keyword) GROUP BY ALL),
+tot AS (SELECT user_id, phrase, round(sum(x::DOUBLE), 3) + 0.0 AS total FROM pc GROUP BY ALL)
+SELECT user_id, f.phrase AS label, count(DISTINCT fragment_id)::INTEGER AS fragment_count, 0.0::FLOAT AS avg_similarity, true AS is_stable, any_value(total) AS total
+FROM found f LEFT JOIN tot USING (user_id, phrase) GROUP BY user_id, f.phrase""",
+    "map_fragments": f"""SELECT DISTINCT fragment_id, user_id, label, 1.0::FLOAT AS weight FROM (SELECT fragment_id, user_id, {_NORM} AS label FROM (SELECT fragment_id, user_id, unnest(noun_phrases) AS raw FROM semantic_fragments)) WHERE label <> '' AND user_id IS NOT NULL""",
+    "lexical_by_user": f"WITH {_search_ctes(True).replace(f'WHERE user_id = {USER} ', 'WHERE user_id IS NOT NULL ').split('lex AS')[0]} every AS (SELECT fragment_id, sum(s) AS score FROM tk GROUP BY fragment_id) SELECT user_id, fragment_id, round(score, 6) AS score FROM every JOIN semantic_fragments USING (fragment_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 12) DESC, fragment_id) <= 50",
+    "semantic_search_all": f"""WITH u AS (SELECT fragment_id, user_id, message_id, embedding::DOUBLE[] AS v FROM semantic_fragments WHERE {_FINE}),
+dist AS (SELECT q.fragment_id AS query_id, o.message_id, min(list_cosine_distance(q.v, o.v)) AS x FROM u q JOIN u o USING (user_id) WHERE q.fragment_id % 100 = 0 AND o.message_id IS NOT NULL GROUP BY ALL)
+SELECT query_id, message_id, round(x, 5) AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9), message_id))::INTEGER AS place FROM dist QUALIFY place <= 20""",
+    "semantic_search_content": f"""WITH {_DIST}, top AS (SELECT message_id, min(x) AS x FROM dist WHERE user_id = {USER} GROUP BY message_id ORDER BY round(min(x), 12), message_id LIMIT 20),
+txt AS (SELECT message_id, string_agg(coalesce(text, ''), chr(10) ORDER BY fragment_order NULLS FIRST, fragment_id) AS content FROM semantic_fragments GROUP BY message_id)
+SELECT message_id, round(x, 6) AS distance, content FROM top LEFT JOIN txt USING (message_id)""",
     "phrase_centroid": f"""WITH {_FOUND}, e AS (SELECT nk.keyword, f.user_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM nk JOIN semantic_fragments f USING (fragment_id) WHERE {_FINE}),
 kc AS (SELECT user_id, keyword, pos, avg(x) AS x FROM e GROUP BY ALL), pk AS (SELECT DISTINCT user_id, phrase, keyword FROM found),
 pc AS (SELECT user_id, phrase, pos, avg(x) AS x, count(*) AS n FROM pk JOIN kc USING (user_id, keyword) GROUP BY ALL)

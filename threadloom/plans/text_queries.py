@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import hashing, text
+from threadloom.functions import hashing, text, vectors
 from threadloom.functions.identity import message_hash
 from threadloom.operators import fragments as frag
 from threadloom.operators import phrases
-from threadloom.session import table
+from threadloom.session import shared_folder, table
 from threadloom.sources import exports
+from threadloom.sources.store import Store
+from threadloom.streaming import ingest
 
 _TRIM = r"'^[\x00-\x20]+|[\x00-\x20]+$'"
 
@@ -71,6 +76,24 @@ def chunk_paragraph(s, d):
     return out.select("doc_id", "fragment_order", "text", F.round("confidence", 6).alias("confidence"), "hash")
 
 
+def ingest_fragments(s, d):
+    """The fragments of every text unit of the delivered records; code gives none."""
+    units = exports.unit_rows(table(s, d, "conversation_export")).filter("type = 'TEXT'")
+    keyed = units.select(F.concat_ws("/", "delivery_id", "msg_pos").alias("message"), "unit_pos", "text")
+    out = frag.fragment_units(keyed, "message")
+    at = F.split("message", "/")
+    return out.select(at[0].cast("bigint").alias("delivery_id"), at[1].cast("int").alias("msg_pos"), "unit_pos", "fragment_order", "text", "confidence", "hash")
+
+
+def chunk_vectors(s, d):
+    """Each message's fragments, in their order, folded by centroid and drift of their stored vectors."""
+    rows = table(s, d, "semantic_fragments").filter(F.col("message_id").isNotNull() & vectors.usable("embedding", 128))
+    pos = F.row_number().over(Window.partitionBy("message_id").orderBy(F.col("fragment_order").asc_nulls_first(), "fragment_id"))
+    parts = rows.select("message_id", pos.alias("pos"), F.coalesce("text", F.lit("")).alias("paragraph"), "embedding")
+    out = frag.chunk(parts, "message_id", threshold=0.1, drift=0.9)
+    return out.select("message_id", "fragment_order", "n_parts", (F.round("confidence", 5) + 0.0).alias("confidence"))
+
+
 QUERIES = {
     "norm_words": lambda s, d: _phr(s, d).select("fragment_id", "pos", text.normalize_words("phrase").alias("norm")),
     "norm_phrase": lambda s, d: _phr(s, d).select("fragment_id", "pos", text.normalize_phrase("phrase").alias("norm")),
@@ -101,6 +124,8 @@ QUERIES = {
     "noun_phrases": noun_phrases,
     "chunk_faithful": chunk_faithful,
     "chunk_paragraph": chunk_paragraph,
+    "chunk_vectors": chunk_vectors,
+    "ingest_fragments": ingest_fragments,
 }
 
 _PHR = "(SELECT fragment_id, (generate_subscripts(noun_phrases, 1) - 1)::INTEGER AS pos, unnest(noun_phrases) AS phrase FROM semantic_fragments)"
@@ -169,20 +194,56 @@ SELECT doc_id, pos, regexp_replace(raw, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', '
 }
 
 
-def streaming_ingest(s, d):
-    """The delivered export records through a file stream into a store, one copy of each uuid: what the store then holds."""
-    from threadloom.session import shared_folder
-    from threadloom.streaming import ingest
+_KEY = "lower(replace(replace(replace(trim(uuid), '-', ''), '{', ''), '}', ''))"
 
-    import uuid
 
+def streaming_ingest(s, d):
+    """The delivered export records through file streams into a store: what it then holds.
+
+    The records of the first half of the batches arrive in one file, the others in a second, each a micro-batch; then a stream with a new
+    checkpoint reads both again, which adds nothing.
+    """
     source = table(s, d, "conversation_export").select("delivery_id", "batch_no", "uuid", "name")
     base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{base}/in")
-    records = ingest.read_stream(s, f"{base}/in", 20, "parquet", source.schema)
-    ingest.ingest_stream(records, f"{base}/store", f"{base}/check", arrival="delivery_id").awaitTermination()
-    return s.read.parquet(f"{base}/store").select("message_key")
+    store = Store(s, f"{base}/store")
+    half = source.agg(F.floor(F.max("batch_no") / 2).alias("b")).first().b
+    for part, checkpoint in ((source.filter(F.col("batch_no") <= half), "check"), (source.filter(F.col("batch_no") > half), "check"), (source.limit(0), "other")):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        records = ingest.read_stream(s, f"{base}/in", 1, "parquet", source.schema)
+        ingest.ingest_stream(records, store, f"{base}/{checkpoint}", arrival="delivery_id").awaitTermination()
+    return store.read("records").select("message_key", "delivery_id")
 
 
 QUERIES["streaming_ingest"] = streaming_ingest
-ORACLE["streaming_ingest"] = "SELECT DISTINCT lower(replace(replace(replace(trim(uuid), '-', ''), '{', ''), '}', '')) AS message_key FROM conversation_export WHERE uuid IS NOT NULL"
+ORACLE["streaming_ingest"] = f"""WITH k AS (SELECT {_KEY} AS message_key, delivery_id, batch_no <= (SELECT max(batch_no) // 2 FROM conversation_export) AS early FROM conversation_export WHERE {_KEY} <> '')
+SELECT message_key, coalesce(max(delivery_id) FILTER (early), max(delivery_id)) AS delivery_id FROM k GROUP BY message_key"""
+ORACLE["ingest_fragments"] = f"""WITH {_UNITS}, kk AS (SELECT *, row_number() OVER (PARTITION BY delivery_id, msg_pos ORDER BY p) - 1 AS unit_pos FROM k),
+u AS (SELECT delivery_id || '/' || msg_pos || '/' || unit_pos AS doc_id, text FROM kk WHERE type = 'TEXT'),
+{_STRIPPED.replace("documents", "u")}, {_MARKED.replace("@ROWS", "stripped")}
+SELECT split_part(doc_id, '/', 1)::BIGINT AS delivery_id, split_part(doc_id, '/', 2)::INTEGER AS msg_pos, split_part(doc_id, '/', 3)::INTEGER AS unit_pos, 1 AS fragment_order, text, 0.0::DOUBLE AS confidence,
+ sha256(split_part(doc_id, '/', 1) || '/' || split_part(doc_id, '/', 2) || '::1::' || {_CONTENT.format("text")}) AS hash
+FROM marked WHERE length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) >= 3"""
+_FITS = f"""(NOT regexp_matches(t, '^[^\\p{{L}}\\p{{N}}]*$') AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in sorted(text.STOP_WORDS))}))
+ OR (length(t) >= 3 AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in text.NOT_IDENTIFIERS)}) AND regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '{text.IDENTIFIER.replace("(?=\\S*[A-Za-z])", "")}'))"""
+#: Sentences, words, runs of words that fit, their edges trimmed; of phrases equal but for case the first counts.
+ORACLE["noun_phrases"] = f"""WITH s AS (SELECT fragment_id, generate_subscripts(l, 1) AS sn, unnest(l) AS sentence FROM (SELECT fragment_id, regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS l FROM semantic_fragments WHERE text <> '')),
+t AS (SELECT fragment_id, sn, generate_subscripts(w, 1) AS tn, unnest(w) AS t FROM (SELECT *, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+(?:[._''-][\\p{{L}}\\p{{N}}_]+)*|[^\\p{{L}}\\p{{N}}_\\s]') AS w FROM s)),
+f AS (SELECT *, {_FITS} AS fits FROM t),
+g AS (SELECT *, sum((NOT fits)::INT) OVER (PARTITION BY fragment_id, sn ORDER BY tn) AS run FROM f),
+r AS (SELECT fragment_id, sn, min(tn) AS tn, list(t ORDER BY tn) AS w FROM g WHERE fits GROUP BY fragment_id, sn, run),
+i AS (SELECT *, list_filter(range(1, len(w) + 1), lambda k : lower(w[k]) NOT IN ({", ".join(f"'{x}'" for x in text.EDGE_WORDS)}) AND regexp_matches(w[k], '[\\p{{L}}\\p{{N}}]')) AS solid FROM r),
+p AS (SELECT fragment_id, sn, tn, w[list_min(solid):list_max(solid)] AS w FROM i WHERE len(solid) > 0),
+q AS (SELECT fragment_id, sn, tn, array_to_string(w, ' ') AS phrase FROM p WHERE len(w) <= 6 AND length(array_to_string(w, ' ')) >= 2)
+SELECT fragment_id, arg_min(phrase, sn * 1000000 + tn) AS phrase FROM q GROUP BY fragment_id, lower(phrase)"""
+ORACLE["chunk_vectors"] = """WITH RECURSIVE e AS (SELECT message_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY message_id ORDER BY fragment_order NULLS FIRST, fragment_id) AS pos FROM semantic_fragments
+ WHERE message_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x::DOUBLE))) = 128 AND list_sum(list_transform(embedding, lambda x : abs(x))) > 0),
+-- the state after each part: chunk number, its size, mean and first vector, the last similarity, and what the chunk before ended with
+f AS (SELECT message_id, pos, 1 AS chunk, 1 AS n, v AS mean, v AS first, 1.0::DOUBLE AS sim, NULL::DOUBLE AS ended, 0 AS closed FROM e WHERE pos = 1
+ UNION ALL
+ SELECT message_id, pos, CASE WHEN joins THEN chunk ELSE chunk + 1 END, CASE WHEN joins THEN n + 1 ELSE 1 END, CASE WHEN joins THEN list_transform(list_zip(mean, v), lambda z : (z[1] * n + z[2]) / (n + 1)) ELSE v END,
+        CASE WHEN joins THEN first ELSE v END, s, CASE WHEN joins THEN NULL ELSE 1 - s END, CASE WHEN joins THEN 0 ELSE n END
+ FROM (SELECT f.message_id, e.pos, f.chunk, f.n, f.mean, f.first, e.v, list_cosine_similarity(f.mean, e.v) AS s, list_cosine_similarity(f.mean, e.v) > 0.1 AND 1 - list_cosine_similarity(f.first, e.v) < 0.9 AS joins
+       FROM f JOIN e ON e.message_id = f.message_id AND e.pos = f.pos + 1)),
+ends AS (SELECT message_id, chunk - 1 AS fragment_order, closed AS n_parts, ended AS confidence FROM f WHERE closed > 0
+ UNION ALL SELECT message_id, chunk, n, 1 - sim FROM f QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY pos DESC) = 1)
+SELECT message_id, fragment_order::INTEGER AS fragment_order, n_parts::INTEGER AS n_parts, round(confidence, 5) + 0.0 AS confidence FROM ends"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,9 +57,30 @@ def read_user(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_account(records: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Records with email_id and llm_id of their account; unknown accounts get nulls. `accounts` has (uuid, email_id, llm_id)."""
-    known = accounts.select(F.col("uuid").alias("__u"), "email_id", "llm_id").dropDuplicates(["__u"])
-    return records.drop("email_id", "llm_id").join(known, F.col("account.uuid") == F.col("__u"), "left").drop("__u")
+    """Records with affiliated_email_id and llm_id of their account. `accounts` has (uuid, email_id, llm_id), each uuid once counted.
+
+    A record that names no account belongs to the batch's first one; a batch that names none at all gives no records. An account that is
+    not in `accounts` gets nulls.
+    """
+    known = accounts.select(F.col("uuid").alias("__u"), F.col("email_id").alias("affiliated_email_id"), "llm_id").dropDuplicates(["__u"])
+    named = records.agg(F.min_by(F.col("account.uuid"), F.when(F.col("account.uuid").isNotNull(), F.struct(F.col("created_at"), F.col("uuid")))).alias("__batch"))
+    whole = records.drop("affiliated_email_id", "llm_id").crossJoin(F.broadcast(named)).filter("__batch is not null")  # one row
+    return whole.withColumn("__u", F.coalesce("account.uuid", "__batch")).join(known, "__u", "left").drop("__u", "__batch")
+
+
+def users_by_email(users: DataFrame, email: str) -> DataFrame:
+    """The users (user_id, email) of an email address, however spelled."""
+    return users.filter(canonical_email("email") == canonical_email(F.lit(email)))
+
+
+def llms_of_email(llms: DataFrame, emails: DataFrame, email_id: int) -> DataFrame:
+    """The llms (llm_id, ...) that own an affiliated email (email_id, llm_id): a semi-join."""
+    return llms.join(emails.filter(F.col("email_id") == email_id).select("llm_id"), "llm_id", "left_semi")
+
+
+def latest_of(rows: DataFrame, owner: str, value: int, n: int = 1, created: str = "created_at", tie: str | None = None) -> DataFrame:
+    """The `n` last created rows of an owner; rows without a time come last."""
+    return rows.filter(F.col(owner) == value).orderBy(F.col(created).desc_nulls_last(), *([tie] if tie else [])).limit(n)
 
 
 def first_account(records: DataFrame) -> DataFrame:
@@ -98,16 +120,47 @@ def conversations(exports: DataFrame) -> DataFrame:
 
 
 def dedupe_by_hash(rows: DataFrame, order: list[str], hash_column: str = "hash", stored: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
-    """The first row of each hash by `order` (unique), without hashes that are stored already. Scope is everything, or the given columns.
+    """The first row of each hash by `order`, without hashes that are stored already. Scope is everything, or the given columns. Of rows
+    equal in hash, scope and order one stays.
 
-    The first is a minimum per hash, combined before the shuffle, so a hash that a third of all rows share does not make a large task.
+    The first is a minimum per hash, combined before the shuffle, so a hash that a third of all rows share does not make a large task. Null
+    hashes and scopes are values like others.
     """
     keys = [*(scope or []), hash_column]
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
-    kept = rows.join(first.select("__first.*"), order, "left_semi")
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"__first.{o}").alias(f"__o{i}") for i, o in enumerate(order)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col(o).eqNullSafe(F.col(f"__o{i}")) for i, o in enumerate(order)])
+    kept = rows.join(first, same, "left_semi").dropDuplicates([*keys, *order])
     return kept.join(stored.select(hash_column).distinct(), hash_column, "left_anti") if stored is not None else kept
 
 
 def sequence(kept: DataFrame, conversation: str, order: str) -> DataFrame:
     """`kept` with sequence_number from 0 within each conversation."""
     return kept.withColumn("sequence_number", F.row_number().over(Window.partitionBy(conversation).orderBy(order)) - 1)
+
+
+def number_of(digest: Column) -> Column:
+    """A positive BIGINT from the first 60 bits of a hex digest: an id that depends on the content alone, so a second load gives the same."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def identified(records: DataFrame) -> DataFrame:
+    """Records with their content hash and conversation_id from it, equal records once. Records without uuid are told apart by their content."""
+    hashed = records.withColumn("hash", conversation_hash(*[c for c in ("uuid", "name", "summary", "created_at", "updated_at", "account", "chat_messages") if c in records.columns]))
+    return hashed.dropDuplicates(["hash"]).withColumn("conversation_id", number_of(F.col("hash")))
+
+
+def message_rows(records: DataFrame) -> DataFrame:
+    """(message_id, conversation_id, msg_pos, role, content, text, hash) of the messages with at least one unit, of `identified` records.
+
+    content is the array of units, text their joined text as in `messages`; message_id follows from the record's hash and the position.
+    """
+    m = records.select("conversation_id", F.col("hash").alias("__h"), F.posexplode("chat_messages").alias("msg_pos", "m"))
+    m = m.select("conversation_id", "__h", "msg_pos", F.col("m.sender").alias("role"), units(F.col("m.content")).alias("content")).filter(F.size("content") > 0)
+    text = normalize_content(F.array_join(F.transform("content", lambda x: x.text), "\n\n"))
+    rows = m.select("conversation_id", "msg_pos", "role", "content", text.alias("text"), number_of(F.sha2(F.concat_ws(":", "__h", "msg_pos"), 256)).alias("message_id"))
+    return rows.withColumn("hash", role_hash("role", "text"))
+
+
+def text_units(messages: DataFrame, key: str) -> DataFrame:
+    """(key, unit_pos, text) of the TEXT units of messages with a `content` array; code units give none."""
+    return messages.select(key, F.posexplode("content").alias("unit_pos", "u")).filter(F.col("u.type") == "TEXT").select(key, "unit_pos", F.col("u.text").alias("text"))
