@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scores import search_bm25
@@ -12,6 +12,7 @@ from threadloom.functions.text import counted, query_tokens, tokens
 
 FUZZY_EXPANSIONS = 50
 EXACT_BOOST = 3.0
+BOOST = "1 - edits / least(length(token), length(term))"
 
 
 def postings(docs: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -37,17 +38,16 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(dl.alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.try_divide(F.sum("dl"), F.count_if(F.col("dl") > 0)), F.lit(1.0)).alias("avgdl"))
 
 
-def within(a: Column, b: Column, most: Column) -> Column:
-    """Edit distance with adjacent transpositions as one edit, for distances up to 2; above `most` it is null.
+def within(a: str, b: str, most: str) -> str:
+    """SQL of the edit distance of two columns with adjacent transpositions as one edit, for distances up to 2; above `most` it is null.
 
     Levenshtein counts a transposition as two edits, so only where it is above the limit, or 2, can a swap lower it: one swap of
     neighbouring letters of `a` followed by at most one further edit.
     """
-    plain = F.levenshtein(a, b)
-    swaps = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))))
-    swapped = F.array_min(F.transform(swaps, lambda s: F.levenshtein(s, b) + 1))
-    best = F.when((plain >= 2) & (plain <= 3) & (F.length(a) >= 2), F.least(plain, swapped)).otherwise(plain)
-    return F.when(best <= most, best)
+    swap = f"concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2, length({a})))"
+    swapped = f"array_min(transform(sequence(1, greatest(length({a}) - 1, 1)), i -> levenshtein({swap}, {b}) + 1))"
+    best = f"CASE WHEN levenshtein({a}, {b}) BETWEEN 2 AND 3 AND length({a}) >= 2 THEN least(levenshtein({a}, {b}), {swapped}) ELSE levenshtein({a}, {b}) END"
+    return f"CASE WHEN {best} <= {most} THEN {best} END"
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, expansions: int = FUZZY_EXPANSIONS) -> DataFrame:
@@ -61,13 +61,8 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, expansions: int = FUZZY
     allowed = F.when(length <= 2, 0).when(length >= 7, 2).otherwise(1)
     asked = terms.select("token", allowed.alias("most")).filter("most > 0")
     near = vocabulary.join(F.broadcast(asked), F.abs(F.length("term") - F.length("token")) <= F.col("most"))
-    scored = near.withColumn("edits", within(F.col("token"), F.col("term"), F.col("most"))).filter("edits is not null")
-    return best_expansions(scored, expansions)
-
-
-def best_expansions(scored: DataFrame, expansions: int = FUZZY_EXPANSIONS) -> DataFrame:
-    """(token, term, df, edits, boost) of the `expansions` best terms of each token of (token, term, df, edits)."""
-    boosted = scored.withColumn("boost", 1 - F.col("edits") / F.least(F.length("token"), F.length("term")))
+    scored = near.withColumn("edits", F.expr(within("token", "term", "most"))).filter("edits is not null")
+    boosted = scored.withColumn("boost", F.expr(BOOST))
     ranked = boosted.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy(F.col("boost").desc(), "term")))
     return ranked.filter(F.col("rn") <= expansions).select("token", "term", "df", "edits", "boost")
 

@@ -118,16 +118,17 @@ class Serving:
         parts = []
         spelled = [f"('{s}','{t}',{most[t]})" for t in tokens if len(t) <= SPELLED for s, n in _spelled(t, most[t]).items()]
         if spelled:
-            parts.append(f"SELECT DISTINCT token, term, df, most FROM {self._view('spellings')} JOIN (VALUES {','.join(spelled)}) AS q(spelling, token, most) USING (spelling) WHERE left_out <= most")
+            parts.append(f"SELECT DISTINCT token, term, df, most FROM (SELECT /*+ REPARTITION(token), BROADCAST(q) */ token, term, df, most, left_out FROM {self._view('spellings')} JOIN (VALUES {','.join(spelled)}) AS q(spelling, token, most) USING (spelling) WHERE left_out <= most)")
         long = [f"('{t}',{most[t]})" for t in tokens if len(t) > SPELLED]
         if long:
             parts.append(f"SELECT token, term, df, most FROM {self._view('terms')} JOIN (VALUES {','.join(long)}) AS q(token, most) ON abs(length(term) - length(token)) <= most WHERE length(term) > {SPELLED - 2}")
         if not parts:
             return []
-        near = self.spark.sql(" UNION ALL ".join(parts)).withColumn("edits", lexical.within(F.col("token"), F.col("term"), F.col("most"))).filter("edits is not null")
+        near = f"SELECT token, term, df, {lexical.within('token', 'term', 'most')} AS edits FROM ({' UNION ALL '.join(parts)})"
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY token ORDER BY boost DESC, term) AS rn FROM (SELECT *, {lexical.BOOST} AS boost FROM ({near}) WHERE edits IS NOT NULL)"
         exact, fuzz = {}, {}
         # at most FUZZY_EXPANSIONS and the exact term for each of at most 250 tokens
-        for r in lexical.best_expansions(near).toArrow().to_pylist():
+        for r in self.spark.sql(f"SELECT token, term, df, edits, boost FROM ({ranked}) WHERE rn <= {lexical.FUZZY_EXPANSIONS}").toArrow().to_pylist():
             if r["edits"] == 0:
                 exact[r["token"]] = r["df"]
             if most[r["token"]]:
