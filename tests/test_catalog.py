@@ -10,7 +10,6 @@ from threadloom.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
-SLOW = {"phrase_centroid", "graph_edges", "chunk_paragraph"}
 
 
 def connect():
@@ -39,7 +38,7 @@ def compare(spark, con, query, sql):
     assert sorted("|".join(map(text, r)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, name):
     query, sql = catalog.queries()[name], catalog.oracle().get(name)
     if sql:
