@@ -7,7 +7,8 @@ centroid. Codes are chosen for the score, not the distance: the part of the resi
 
 A query scans the codes of its `probes` nearest lists by table look-up (two subspaces a byte) and ranks the best of each list
 again by exact cosine; the best k of all lists remain. There are sqrt(n) lists, and beyond 67 million rows one for each `block` rows, so
-that a list stays within a block and the work grows with the number of queries, not with queries times rows.
+that a list stays within a block. 64 lists are scanned, or a tenth where that is more, since recall follows the share of lists: with a fixed
+number the work would grow with the number of queries alone, but recall would fall as the table grows.
 
 Vectors are read and scaled once. Each goes to one cell (list, block of the list) and each query to the cells of its lists; a cell's
 vectors come first in its sorted partition and its queries stream past them, so neither is copied for the other and a cell holds no more
@@ -29,7 +30,7 @@ from threadloom.session import cut
 SAMPLE = 20_000  # rows the index is fitted on, or 16 for each list where that is more
 MOST_LISTS = 25_000  # reached at 200 million rows; beyond it lists have more than one block
 BLOCK = 8_192  # vectors of a list in one cell
-PROBES = 64
+PROBES = 64  # lists a query scans, or a tenth of them where that is more
 DEPTH = 32  # reranked per cell and query
 QUERIES = 128  # scanned together
 FOUND = "query_id bigint, other_id bigint, cosine double"
@@ -242,12 +243,12 @@ def _scan(held, k: int, depth: int | None):
 
 def nearest(
     rows: DataFrame, key: str, embedding: str, queries: DataFrame | None = None, k: int = 10, dim: int = 128,
-    sample_rows: int = SAMPLE, probes: int = PROBES, depth: int = DEPTH, lists: int | None = None, block: int = BLOCK, exact: bool = False,
+    sample_rows: int = SAMPLE, probes: int | None = None, depth: int = DEPTH, lists: int | None = None, block: int = BLOCK, exact: bool = False,
 ) -> DataFrame:
     """(query_id, other_id, cosine, place) of the `k` other rows most similar by cosine to each query row.
 
     `queries` has the column `key`; None asks for every row. Rows whose vector is null, not of `dim` elements, all zero or not finite
-    take no part on either side. Equal vectors are neighbours of each other; equal cosines are ordered by id. Fewer than k
+    take no part on either side. `probes` is the number of lists scanned (PROBES, or a tenth of the lists). Equal vectors are neighbours of each other; equal cosines are ordered by id. Fewer than k
     other rows give fewer neighbours; an empty table gives none. The sample (`sample_rows`, or 16 rows a list) bounds only the fit. With
     `exact` every query meets every block by exact cosine: the way to results without loss, and what recall is measured against.
     """
@@ -275,7 +276,7 @@ def nearest(
     share = np.bincount(index.assign(unit), minlength=len(index.centroids)) / len(unit)
     blocks = np.maximum(1, np.ceil(share * n / block)).astype(np.int64)
     held = spark.sparkContext.broadcast((index, blocks))
-    probes = len(index.centroids) if exact else probes
+    probes = len(index.centroids) if exact else probes or max(PROBES, -(-len(index.centroids) // 10))
     names = ["list", "b", "side", "id", "code", "vector"]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
