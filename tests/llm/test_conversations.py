@@ -80,6 +80,6 @@ def test_sessions(spark):
 
 
 def test_calibrated_gap(spark):
-    pauses = spark.createDataFrame([(10**6 * (1 + i % 5),) for i in range(200)] + [(10**10 * (1 + i % 3),) for i in range(20)] + [(None,)], "pause long")
+    pauses = spark.createDataFrame([(10**6 * (1 + i % 5),) for i in range(200)] + [(10**10 * (1 + i % 3),) for i in range(20)] + [(0,)] * 500 + [(None,)], "pause long")
     assert 5e6 < c.calibrated_gap(pauses).first().gap < 1e10
     assert c.calibrated_gap(pauses.limit(0)).first().gap is None

@@ -225,11 +225,12 @@ def calibrated_gap(pauses: DataFrame, pause: str = "pause") -> DataFrame:
     """One row (gap): the inactivity gap in microseconds that divides pauses within sessions from those between them.
 
     Pauses form two heaps on a logarithmic scale; the gap is the bound of the class at which the variance between the two sides is
-    greatest (the first of equal ones). All pauses count, in at most some 500 classes, so only a small table of counts is ordered.
+    greatest (the first of equal ones). All pauses count but those of no length (rows of one time say nothing about gaps), in at most some 500
+    classes, so only a small table of counts is ordered.
     Without two classes of pauses there is no gap (null), and nothing is split.
     """
-    at = F.floor(F.log2(F.greatest(F.col(pause), F.lit(1)).cast("double")) * CLASSES + 1e-9)
-    counts = pauses.filter(F.col(pause).isNotNull()).groupBy(at.alias("c")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    at = F.floor(F.log2(F.col(pause).cast("double")) * CLASSES + 1e-9)
+    counts = pauses.filter(F.col(pause) > 0).groupBy(at.alias("c")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     upto, every = Window.orderBy("c"), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # over the classes only
     sides = counts.select("c", F.sum("w").over(upto).alias("w0"), F.sum(F.col("w") * F.col("c")).over(upto).alias("s0"), F.sum("w").over(every).alias("w1"), F.sum(F.col("w") * F.col("c")).over(every).alias("s1"))
     between = F.col("w0") * (F.col("w1") - F.col("w0")) * F.pow(F.col("s0") / F.col("w0") - (F.col("s1") - F.col("s0")) / (F.col("w1") - F.col("w0")), 2)

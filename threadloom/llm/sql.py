@@ -54,7 +54,7 @@ r AS (SELECT c.account_uuid, epoch_us(c.created_at) AS t, c.delivery_id,
         CASE WHEN lower(regexp_replace(c.sender, '^\\s+|\\s+$', '', 'g')) IN ('human', 'user') THEN 0 WHEN lower(regexp_replace(c.sender, '^\\s+|\\s+$', '', 'g')) IN ('assistant', 'model') THEN 1 ELSE -1 END AS role
       FROM kept JOIN chat_message c USING (delivery_id) WHERE c.account_uuid IS NOT NULL AND c.created_at IS NOT NULL),
 p AS (SELECT *, t - lag(t) OVER (PARTITION BY account_uuid ORDER BY t, delivery_id) AS pause FROM r),
-classes AS (SELECT floor(log2(greatest(pause, 1)::DOUBLE) * 8 + 1e-9) AS c, count(*)::DOUBLE AS w FROM p WHERE pause IS NOT NULL GROUP BY 1),
+classes AS (SELECT floor(log2(pause::DOUBLE) * 8 + 1e-9) AS c, count(*)::DOUBLE AS w FROM p WHERE pause > 0 GROUP BY 1),
 sides AS (SELECT c, sum(w) OVER (ORDER BY c) AS w0, sum(w * c) OVER (ORDER BY c) AS s0, sum(w) OVER () AS w1, sum(w * c) OVER () AS s1 FROM classes),
 best AS (SELECT c FROM sides WHERE w1 > w0 ORDER BY round(w0 * (w1 - w0) * pow(s0 / w0 - (s1 - s0) / (w1 - w0), 2) / pow(w1, 2), 9) DESC, c LIMIT 1),
 gap AS (SELECT pow(2.0::DOUBLE, (max(c) + 1) / 8) AS gap FROM best),
